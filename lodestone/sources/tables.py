@@ -20,7 +20,7 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size.toString()) >= cores * SPLIT_BYTES:
+    if int(str(size)) >= cores * SPLIT_BYTES:
         return frame
     return frame.repartition(cores, *keys)
 
