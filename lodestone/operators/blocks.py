@@ -54,7 +54,7 @@ class Keep:
 class _Selection:
     """Running survivors of one task for one block of queries."""
 
-    def __init__(self, keep: Keep, queries: int, order: str, size: str):
+    def __init__(self, keep: Keep, queries: int, order: tuple[str, ...], size: str):
         self.keep, self.order, self.size = keep, order, size
         self.floor = np.full(queries, -np.inf)
         self.rows: pa.Table | None = None
@@ -88,8 +88,8 @@ class _Selection:
     def _trim(self) -> None:
         query = self.rows.column("_query").to_numpy()
         score = np.round(self.rows.column("score").to_numpy(), DECIMALS)
-        place = self.rows.column(self.order).to_numpy()
-        order = np.lexsort((place, -score, query))
+        places = [_sortable(self.rows.column(name)) for name in reversed(self.order)]
+        order = np.lexsort((*places, -score, query))
         query, score = query[order], score[order]
         starts = np.r_[0, np.flatnonzero(np.diff(query)) + 1]
         counts = np.diff(np.r_[starts, len(query)])
@@ -114,6 +114,13 @@ class _Selection:
         return table.select(schema.names).cast(schema)
 
 
+def _sortable(column) -> np.ndarray:
+    values = column.to_numpy()
+    if values.dtype != object:
+        return values
+    return np.unique(values.astype(str), return_inverse=True)[1]
+
+
 def _plain(table: pa.Table) -> pa.Table:
     """Dictionary-free, small-offset copy so tables concatenate cleanly."""
     return table.combine_chunks()
@@ -124,7 +131,7 @@ def select_best(
     queries: DataFrame,
     kernel,
     keep: Keep,
-    order: str = "position",
+    order: tuple[str, ...] = ("position",),
     size: str = "size",
     payload: tuple[str, ...] = (),
     query_size: Column | None = None,
@@ -134,7 +141,7 @@ def select_best(
 
     ``kernel`` has ``prepare(query_table) -> state`` and ``score(state, batch)
     -> (rows x queries) array``. ``queries`` carries ``query_id`` and whatever
-    the kernel reads. Ties go to the smaller ``order`` value.
+    the kernel reads. Ties go to the smaller ``order`` values.
     """
     limit = session.BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
     query_size = F.lit(64) if query_size is None else query_size
@@ -143,11 +150,11 @@ def select_best(
         F.coalesce(F.sum(query_size), F.lit(0)).alias("bytes"),
         F.count(F.lit(1)).alias("rows"),
     )
-    columns = list(dict.fromkeys([order, *([size] if keep.budget else []), *payload]))
+    columns = list(dict.fromkeys([*order, *([size] if keep.budget else []), *payload]))
     fields = [queries.schema["query_id"]]
     fields += [items.schema[name] for name in columns] + [T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
     wire = [name for name in items.columns if name in set(columns) | set(kernel.columns)]
     items = items.select(*wire)
     found = None
@@ -166,7 +173,7 @@ def select_best(
     return _final(found, keep, order, size)
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
+def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)
@@ -202,7 +209,7 @@ def _scan(kernel, keep, order, size, columns, block, batches, arrow):
 def _grid(items, queries, kernel, keep, order, size, columns, schema, arrow, stats):
     query_blocks = int(-(-stats["bytes"] // GRID_QUERY_BYTES))
     item_blocks = int(-(-items.count() // GRID_ITEM_ROWS)) or 1
-    left = items.withColumn("_ib", F.pmod(F.xxhash64(order), F.lit(item_blocks))).withColumn(
+    left = items.withColumn("_ib", F.pmod(F.xxhash64(*order), F.lit(item_blocks))).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint")))
     )
     right = queries.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
@@ -221,8 +228,8 @@ def _grid(items, queries, kernel, keep, order, size, columns, schema, arrow, sta
     return left.groupBy("_ib", "_qb").cogroup(right.groupBy("_ib", "_qb")).applyInArrow(cell, schema)
 
 
-def _final(found: DataFrame, keep: Keep, order: str, size: str) -> DataFrame:
-    ordering = [F.round("score", DECIMALS).desc(), F.col(order)]
+def _final(found: DataFrame, keep: Keep, order: tuple[str, ...], size: str) -> DataFrame:
+    ordering = [F.round("score", DECIMALS).desc(), *[F.col(name) for name in order]]
     if keep.k is not None:
         return top_k(found, ["query_id"], ordering, keep.k)
     best = W.partitionBy("query_id").orderBy(*ordering)

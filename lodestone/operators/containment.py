@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import session
+from .blocks import arrow_schema
 
 GRID_ANSWER_BYTES = 16 * 1024 * 1024
 
@@ -58,6 +59,8 @@ def containing(
     row_bytes = F.coalesce(F.octet_length("answer"), F.lit(0)) * 4 + 64
     size = answers.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()["b"]
 
+    key_type = arrow_schema(schema).field(0).type
+
     def look(batch, machine, always):
         rows, keys = [], []
         for row, value in enumerate(batch.column("_text").to_pylist()):
@@ -65,7 +68,7 @@ def containing(
                 rows.append(row)
                 keys.append(key)
         taken = batch.select(columns).take(pa.array(rows, pa.int64()))
-        arrays = [pa.array(keys)] + [taken.column(name) for name in columns]
+        arrays = [pa.array(keys, key_type)] + [taken.column(name) for name in columns]
         return arrays
 
     if size <= limit:

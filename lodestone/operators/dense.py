@@ -71,7 +71,7 @@ class VectorStore:
         """``(query_id, rank, id, score)`` for ``(query_id, vector)`` queries."""
         return select_best(
             self.rows, queries.select("query_id", "vector"), CosineKernel(), Keep(k=k),
-            order="id", payload=tuple(payload),
+            order=("id",), payload=tuple(payload),
             query_size=F.size("vector") * 8 + 16, **options,
         )
 

@@ -90,7 +90,10 @@ def _term_bytes() -> Column:
 
 
 class Overlap:
-    """Overlap scorers that rank every chunk, including those scoring zero."""
+    """Overlap scorers that rank every chunk, including those scoring zero.
+
+    Ties go by document id, then chunk index.
+    """
 
     def __init__(self, chunks: DataFrame, scorer: str = "coverage", tokenizer=T.tokens):
         if scorer not in ("coverage", "occurrences"):
@@ -111,7 +114,7 @@ class Overlap:
     def _select(self, queries, keep, payload, **options):
         return select_best(
             self.items, self._terms(queries), TermKernel(self.scorer), keep,
-            payload=tuple(payload), query_size=_term_bytes(), **options,
+            order=("doc_id", "chunk_index"), payload=("position", *payload), query_size=_term_bytes(), **options,
         )
 
     def search(self, queries, k: int = 3, payload=(), **options) -> DataFrame:
