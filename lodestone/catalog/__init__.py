@@ -1,0 +1,8 @@
+"""All registered queries over the given tables and their SQL oracles."""
+
+
+def registered():
+    from . import texts  # noqa: F401
+    from .base import ORACLES, QUERIES
+
+    return dict(QUERIES), dict(ORACLES)

@@ -75,8 +75,9 @@ def facts(sentence: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower-case, drop articles and punctuation, keep punctuation inside tokens."""
     lowered = strip(F.lower(text))
-    no_articles = F.regexp_replace(lowered, r"(?U)\b(?:a|an|the)\b", " ")
-    plain = F.regexp_replace(no_articles, rf"(?U)[^\w{SPACE_CLASS}:,./-]", " ")
+    word = r"[\p{L}\p{N}_]"
+    no_articles = F.regexp_replace(lowered, rf"(?<!{word})(?:a|an|the)(?!{word})", " ")
+    plain = F.regexp_replace(no_articles, rf"[^\p{{L}}\p{{N}}_{SPACE_CLASS}:,./-]", " ")
     words = F.split(plain, f"[{SPACE_CLASS}]+")
     trimmed = F.transform(words, lambda word: F.trim(word, F.lit(".,/-")))
     return F.array_join(F.filter(trimmed, lambda word: word != ""), " ")
