@@ -2,7 +2,7 @@
 
 
 def registered():
-    from . import texts  # noqa: F401
+    from . import answers, ranking, search, texts  # noqa: F401
     from .base import ORACLES, QUERIES
 
     return dict(QUERIES), dict(ORACLES)

@@ -118,7 +118,7 @@ def overlap(kind: str, name: str = "overlap") -> str:
   SELECT query_id, position, score,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank
   FROM (
-    SELECT q.query_id, c.position, coalesce(h.score, 0) AS score
+    SELECT q.query_id, c.position, CAST(coalesce(h.score, 0) AS DOUBLE) AS score
     FROM questions q CROSS JOIN (SELECT position FROM chunks) c
     LEFT JOIN (SELECT qt.query_id, tf.position, {value} AS score
                FROM qt JOIN tf ON tf.term = qt.term GROUP BY ALL) h
@@ -206,3 +206,50 @@ def with_(*parts: str, recursive: bool = True) -> str:
 
 DOCS = "docs AS (SELECT doc_id, text, lang, source FROM documents)"
 FACTS = q(FACT.replace("(?i)", ""))
+
+
+ARTICLE = r"'(^|[^\p{L}\p{N}_])(?:a|an|the)([^\p{L}\p{N}_]|$)'"
+
+
+def normalized(expr: str) -> str:
+    """The answer normalization of an expression."""
+    plain = f"trim(lower({expr}), {WS})"
+    for _ in range(2):
+        plain = f"regexp_replace({plain}, {ARTICLE}, '\\1 \\2', 'g')"
+    plain = f"regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}_{SPACE_CLASS}:,./-]', ' ', 'g')"
+    words = f"list_transform(string_split_regex({plain}, '[{SPACE_CLASS}]+'), lambda w: trim(w, '.,/-'))"
+    return f"array_to_string(list_filter({words}, lambda w: w <> ''), ' ')"
+
+
+def packed_context(source: str, name: str, order: str = "rank") -> str:
+    """CTE ``name(query_id, context)`` from ``source(query_id, rank, text)``."""
+    return f"""
+{name} AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY {order}) AS context FROM {source} GROUP BY query_id)"""
+
+
+def generated(source: str, name: str) -> str:
+    """CTE ``name(query_id, answer_text)`` of the extractive stand-in over
+    ``source(query_id, query, context)``."""
+    return f"""
+{name}_part AS (
+  SELECT query_id, trim(part, {WS}) AS part, i, list_distinct({tokens('query')}) AS a
+  FROM (SELECT query_id, query, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (
+    SELECT query_id, query, string_split(regexp_replace(context, '([.!?。！？])[{SPACE_CLASS}]+|\n+', '\\1' || chr(1), 'g'), chr(1)) AS ps
+    FROM {source}))
+), {name}_best AS (
+  SELECT query_id, arg_min(part, (-score, i)) AS part FROM (
+    SELECT *, len(list_intersect(a, list_distinct({tokens('part')}))) / greatest(len(a), 1) AS score FROM {name}_part)
+  WHERE part <> '' AND score >= 0.25 GROUP BY query_id
+), {name} AS MATERIALIZED (
+  SELECT query_id, coalesce(part, 'not stated') AS answer_text FROM {source} LEFT JOIN {name}_best USING (query_id)
+)"""
+
+
+def supported(answers: str, context: str, name: str) -> str:
+    """CTE ``name(query_id, position)``: first context chunk holding the answer."""
+    return f"""
+{name} AS (
+  SELECT query_id, arg_min(position, rank) AS position FROM {context} JOIN {answers} USING (query_id)
+  WHERE NOT contains(lower(answer_text), 'not stated') AND {normalized('answer_text')} <> ''
+    AND contains({normalized('text')}, {normalized('answer_text')}) GROUP BY query_id
+)"""

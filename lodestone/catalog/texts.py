@@ -135,15 +135,17 @@ def offset_drift(spark, sf_dir):
     return _decomposed(spark, sf_dir).select("doc_id", U.offset_drift(F.col("text")).alias("drift"))
 
 
-NFD_OFFSETS = "{0} + length(regexp_replace(substring(d.text, 1, CAST({0} AS INTEGER)), '[^" + "".join(
+MARKED = "[^" + "".join(
     chr(code) for code in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(code))) == 2
-) + "]', '', 'g'))"
+) + "]"
 
 
 @query(
     S.with_(S.DOCS, S.fixed_chunks("docs", 200))
-    + f"""SELECT doc_id, chunk_index, {NFD_OFFSETS.format('s')} AS begin_at,
-    {NFD_OFFSETS.format('e')} AS end_at, c.text FROM chunks c JOIN docs d USING (doc_id)"""
+    + f"""SELECT doc_id, chunk_index, CAST(s + sum(marks) OVER w - marks AS BIGINT) AS begin_at,
+    CAST(e + sum(marks) OVER w AS BIGINT) AS end_at, text
+    FROM (SELECT *, length(regexp_replace(text, '{MARKED}', '', 'g')) AS marks FROM chunks)
+    WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)"""
 )
 def chunk_decomposed(spark, sf_dir):
     """Chunks of decomposed text: NFC text, raw offsets."""
@@ -317,7 +319,7 @@ def parses_as_python(spark, sf_dir):
 
 @query(
     S.with_(S.DOCS, S.sentence_chunks("docs", 200))
-    + """SELECT lang, source, count(*) AS chunks, sum(length(c.text)) AS characters
+    + """SELECT lang, source, count(*) AS chunks, CAST(sum(length(c.text)) AS BIGINT) AS characters
     FROM chunks c JOIN docs USING (doc_id) WHERE lang = 'fr' AND source IN ('src1', 'src4', 'src8')
     GROUP BY lang, source"""
 )
@@ -373,22 +375,11 @@ def tokenize_counts(spark, sf_dir):
     )
 
 
-ARTICLE = r"'(^|[^\p{L}\p{N}_])(?:a|an|the)([^\p{L}\p{N}_]|$)'"
-
-
 @query(
-    S.with_(
-        S.DOCS,
-        S.sentences("docs"),
-        rf"""plain AS (
-  SELECT doc_id, n - 1 AS sentence_index, string_split_regex(regexp_replace(regexp_replace(regexp_replace(
-      trim(lower(substring(text, CAST(s + 1 AS INTEGER), CAST(e - s AS INTEGER))), {S.WS}),
-      {ARTICLE}, '\1 \2', 'g'), {ARTICLE}, '\1 \2', 'g'),
-      '[^\p{{L}}\p{{N}}_{S.SPACE_CLASS}:,./-]', ' ', 'g'), '[{S.SPACE_CLASS}]+') AS ws
-  FROM sent JOIN docs USING (doc_id))""",
-    )
-    + """SELECT doc_id, sentence_index, array_to_string(list_filter(list_transform(ws, lambda w: trim(w, '.,/-')),
-    lambda w: w <> ''), ' ') AS answer FROM plain"""
+    S.with_(S.DOCS, S.sentences("docs"))
+    + f"""SELECT doc_id, n - 1 AS sentence_index,
+    {S.normalized('substring(text, CAST(s + 1 AS INTEGER), CAST(e - s AS INTEGER))')} AS answer
+    FROM sent JOIN docs USING (doc_id)"""
 )
 def normalize_answer(spark, sf_dir):
     rows = C.split_sentences(documents(spark, sf_dir))

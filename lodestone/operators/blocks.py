@@ -145,6 +145,7 @@ def select_best(
     """
     limit = session.BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
     query_size = F.lit(64) if query_size is None else query_size
+    queries = queries.persist()
     # One job measures the query set; it decides the path and the grid.
     measured = queries.agg(
         F.coalesce(F.sum(query_size), F.lit(0)).alias("bytes"),
@@ -157,10 +158,10 @@ def select_best(
     arrow = arrow_schema(schema)
     wire = [name for name in items.columns if name in set(columns) | set(kernel.columns)]
     items = items.select(*wire)
-    found = None
     stats = measured.first()
     if stats["bytes"] <= limit:
         table = _plain(queries.toArrow())
+        queries.unpersist()
         spread = items.sparkSession.sparkContext.broadcast(_dump(table))
 
         def scan(batches):

@@ -72,10 +72,11 @@ def reciprocal_rank_fusion(
 class HybridRetriever:
     """BM25 and dense search over one chunk table, combined either way."""
 
-    def __init__(self, chunks: DataFrame, dense: DenseIndex | None = None, k1=1.5, b=0.75):
+    def __init__(self, chunks: DataFrame, dense: DenseIndex | None = None, k1=1.5, b=0.75, keep=None):
         self.chunks = chunks
         self.sparse = BM25(chunks, k1=k1, b=b)
         self.dense = dense or DenseIndex(chunks)
+        self.keep = keep or (lambda frame: frame.persist(StorageLevel.MEMORY_AND_DISK))
         self._halves: dict = {}
 
     def half(self, queries: DataFrame, depth: int, method: str) -> DataFrame:
@@ -85,7 +86,7 @@ class HybridRetriever:
             index = self.sparse if method == "sparse" else self.dense
             found = index.search(queries, depth, payload=("text",))
             # The queries are kept too, so that their id cannot be reused.
-            self._halves[key] = (queries, found.persist(StorageLevel.MEMORY_AND_DISK))
+            self._halves[key] = (queries, self.keep(found))
         return self._halves[key][1]
 
     def search(

@@ -196,7 +196,7 @@ class BM25:
         return joined.groupBy("query_id").agg(F.collect_list(part).alias("terms"))
 
     def _select(self, queries, keep, payload, **options):
-        terms = self.query_terms(queries).persist()
+        terms = self.query_terms(queries)
         return select_best(
             self.items, terms, TermKernel("bm25", self.k1, self.b), keep,
             payload=tuple(payload), query_size=_term_bytes(), **options,
