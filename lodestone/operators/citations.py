@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,8 +15,10 @@ def cite(chunks: DataFrame, documents: DataFrame, quote_chars: int = 60) -> Data
     Chunks join their document on ``doc_id``; a chunk cannot meet another
     document, and one whose document is missing gets no citation.
     """
+    # Line breaks are found once per document, not once per chunk.
     source = documents.select(
-        "doc_id", F.col("text").alias("_raw"), F.col("title").alias("_title"), F.col("uri").alias("_uri")
+        "doc_id", F.col("text").alias("_raw"), F.col("title").alias("_title"),
+        F.col("uri").alias("_uri"), _breaks(F.col("text")).alias("_breaks"),
     )
     joined = chunks.join(source, "doc_id", "left")
     span = F.substring(F.col("_raw"), F.col("start") + 1, F.col("end") - F.col("start"))
@@ -24,17 +26,37 @@ def cite(chunks: DataFrame, documents: DataFrame, quote_chars: int = 60) -> Data
         F.length(span) > quote_chars,
         F.concat(T.rstrip(F.substring(span, 1, quote_chars)), F.lit("...")),
     ).otherwise(span)
-    place = T.line_column(F.col("_raw"), F.col("start"))
-    citation = F.struct(
-        "doc_id", "start", "end",
-        place["line"].alias("line"), place["column"].alias("column"),
-        quote.alias("quote"), F.col("_title").alias("title"), F.col("_uri").alias("uri"),
-    )
-    return joined.withColumn("citation", F.when(F.col("_raw").isNotNull(), citation)).drop(
-        "_raw", "_title", "_uri"
+    before = F.filter("_breaks", lambda at: at < F.col("start"))
+
+    def citation(breaks):
+        return F.struct(
+            "doc_id", "start", "end",
+            (F.size(breaks) + 1).alias("line"),
+            (F.col("start") - F.coalesce(F.try_element_at(breaks, F.lit(-1)), F.lit(-1))).alias("column"),
+            quote.alias("quote"), F.col("_title").alias("title"), F.col("_uri").alias("uri"),
+        )
+
+    built = F.get(F.transform(F.array(before), citation), F.lit(0))
+    inside = F.col("start").between(0, F.length("_raw"))
+    checked = F.when(inside, built).otherwise(F.raise_error(F.lit("offset outside the text")))
+    return joined.withColumn("citation", F.when(F.col("_raw").isNotNull(), checked)).drop(
+        "_raw", "_title", "_uri", "_breaks"
     )
 
 
+def _breaks(text: Column) -> Column:
+    """Ascending offsets of the line breaks of a text."""
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("breaks"))
+
+    def step(acc, line):
+        at = (acc["at"] + F.length(line) + 1).cast("int")
+        return F.struct(at.alias("at"), F.array_append(acc["breaks"], at).alias("breaks"))
+
+    # The last line ends without a break.
+    found = F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc["breaks"])
+    return F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
+
+
 def verify(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """``chunks`` with ``verified``: does the raw span, normalized, equal the chunk?"""
     source = documents.select("doc_id", F.col("text").alias("_raw"))

@@ -24,6 +24,8 @@ def local_session(cores: int | str = 8, app: str = "lodestone", **extra) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Tasks already fill the cores; their matrix products use one each.
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         # A few large row groups would otherwise run on a single core.
         .config("spark.sql.files.maxPartitionBytes", str(2 * 1024 * 1024))
         .config("spark.sql.files.openCostInBytes", str(256 * 1024))
