@@ -63,18 +63,18 @@ class TermKernel:
         active, local = np.unique(column, return_inverse=True)
         if not len(active):
             return np.zeros((rows, matrix.shape[1]))
-        counts = np.bincount(row * len(active) + local, minlength=rows * len(active))
-        tf = counts.reshape(rows, len(active)).astype(float)
+        # Only the terms a row holds are weighed; the rest of the matrix is zero.
+        cells, counts = np.unique(row * len(active) + local, return_counts=True)
         if self.weigh == "coverage":
-            tf = (tf > 0).astype(float)
+            weights = np.ones(len(cells))
         elif self.weigh == "bm25":
-            ratio = lengths / mean if mean else np.zeros(rows)
-            damping = self.k1 * (1 - self.b + self.b * ratio)
-            present = tf > 0
-            tf = np.divide(
-                tf * (self.k1 + 1), tf + damping[:, None], out=np.zeros_like(tf), where=present
-            )
-        return tf @ matrix[active]
+            damping = self.k1 * (1 - self.b + self.b * (lengths / mean))
+            weights = counts * (self.k1 + 1) / (counts + damping[cells // len(active)])
+        else:
+            weights = counts
+        present = np.zeros((rows, len(active)))
+        present.ravel()[cells] = weights
+        return present @ matrix[active]
 
 
 def _scored_items(chunks: DataFrame, tokenizer) -> DataFrame:
