@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from .. import session
 
-#: Rows scored at once, and the largest score matrix in cells.
+#: One score matrix covers at most this many items and queries.
 ROWS_PER_STEP = 2048
-CELLS_PER_STEP = 4_000_000
+QUERIES_PER_STEP = 256
 #: Block sizes of the grid used beyond the broadcast bound.
 GRID_QUERY_BYTES = 16 * 1024 * 1024
 GRID_ITEM_ROWS = 500_000
@@ -192,19 +192,21 @@ def _load(raw: bytes) -> pa.Table:
 
 
 def _scan(kernel, keep, order, size, columns, block, batches, arrow):
-    if not block.num_rows:
-        return
-    state = kernel.prepare(block)
-    chosen = _Selection(keep, block.num_rows, order, size)
-    step = max(1, min(ROWS_PER_STEP, CELLS_PER_STEP // block.num_rows))
+    steps = []
+    for start in range(0, block.num_rows, QUERIES_PER_STEP):
+        asked = block.slice(start, QUERIES_PER_STEP).combine_chunks()
+        chosen = _Selection(keep, asked.num_rows, order, size)
+        steps.append((asked.column("query_id").combine_chunks(), kernel.prepare(asked), chosen))
     for batch in batches:
         table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
-        for start in range(0, table.num_rows, step):
-            part = table.slice(start, step)
-            chosen.offer(kernel.score(state, part), part.select(columns))
-    if chosen.rows is not None:
-        ids = block.column("query_id").combine_chunks()
-        yield from chosen.result(ids, arrow).to_batches()
+        for start in range(0, table.num_rows, ROWS_PER_STEP):
+            part = table.slice(start, ROWS_PER_STEP)
+            wanted = part.select(columns)
+            for _, state, chosen in steps:
+                chosen.offer(kernel.score(state, part), wanted)
+    for ids, _, chosen in steps:
+        if chosen.rows is not None:
+            yield from chosen.result(ids, arrow).to_batches()
 
 
 def _grid(items, queries, kernel, keep, order, size, columns, schema, arrow, stats):

@@ -306,13 +306,14 @@ def build_index(documents: DataFrame, size: int, strategy: str = "sentence") ->
     return chunk_documents(documents, size=size, strategy=strategy)
 
 
-def dense_positions(chunks: DataFrame) -> DataFrame:
-    """``(position, ordinal)``: the 0-based place of every chunk in build order.
+def with_ordinals(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``rows`` with ``ordinal``: the 0-based place, in build order, of the chunk
+    their ``position`` names.
 
     A running count over everything would run in one task. Documents are
     counted first; counts are summed per range of documents, the running sum
     over those few ranges gives each range its offset, and the rest is local
-    to a range.
+    to a range. Only documents named by ``rows`` meet them.
     """
     low = (1 << POSITION_SHIFT) - 1
     doc = F.shiftright(F.col("position"), POSITION_SHIFT)
@@ -326,10 +327,9 @@ def dense_positions(chunks: DataFrame) -> DataFrame:
         "_doc",
         (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_first"),
     )
-    return (
-        chunks.select("position", doc.alias("_doc"))
-        .join(firsts, "_doc")
-        .select("position", (F.col("_first") + F.col("position").bitwiseAND(low)).alias("ordinal"))
+    place = F.col("_first") + F.col("position").bitwiseAND(low)
+    return rows.withColumn("_doc", doc).join(firsts, "_doc").withColumn("ordinal", place).drop(
+        "_doc", "_first"
     )
 
 

@@ -50,7 +50,11 @@ def containing(
     text: str = "text",
     limit: int | None = None,
 ) -> DataFrame:
-    """``(query_id, *keep)`` for every text holding the query's ``answer``."""
+    """``(query_id, *keep)`` for every text holding the query's ``answer``.
+
+    Without ``keep`` a query may appear any number of times, but at least once
+    if some text holds its answer.
+    """
     answers = answers.select("query_id", "answer")
     columns = list(keep)
     schema = T.StructType([answers.schema["query_id"]] + [texts.schema[c] for c in columns])
@@ -77,6 +81,15 @@ def containing(
 
         def scan(batches):
             machine, always = _automaton(shared.value)
+            if not columns:
+                # Only the queries matter: a task reports each of them once.
+                seen = set()
+                for batch in batches:
+                    for value in batch.column("_text").to_pylist():
+                        seen |= _matches(machine, always, value)
+                if seen:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), key_type)], ["query_id"])
+                return
             for batch in batches:
                 arrays = look(batch, machine, always)
                 if len(arrays[0]):
@@ -89,7 +102,7 @@ def containing(
     cells = 4 * blocks
     block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     lane = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint")))
-    left = texts.withColumn("_lane", F.pmod(F.xxhash64(*columns), F.lit(cells))).withColumn("_block", block)
+    left = texts.withColumn("_lane", F.pmod(F.xxhash64("_text", *columns), F.lit(cells))).withColumn("_block", block)
     right = answers.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_lane", lane)
 
     def cell(mine: pa.Table, theirs: pa.Table) -> pa.Table:

@@ -38,6 +38,25 @@ class CosineKernel:
         return matrix_of(batch.column("vector")) @ state
 
 
+class EncodingKernel:
+    """Cosine scores of texts encoded where they lie."""
+
+    columns = ("text",)
+
+    def __init__(self, embedder):
+        self.embedder = embedder
+
+    prepare = CosineKernel.prepare
+
+    def score(self, state: np.ndarray, batch: pa.Table) -> np.ndarray:
+        return unit_rows(self.embedder.encode(batch.column("text").to_pylist())) @ state
+
+
+def unit_rows(vectors) -> np.ndarray:
+    vectors = np.asarray(vectors, dtype=float)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), V.TINY)
+
+
 class VectorStore:
     """Exact nearest neighbours over ``(id, vector)`` rows, normalized on entry."""
 
@@ -109,8 +128,7 @@ def encode(text: Column, embedder) -> Column:
     @F.pandas_udf("array<double>")
     def apply(texts: pd.Series) -> pd.Series:
         codes, distinct = pd.factorize(texts)
-        vectors = np.asarray(embedder.encode(list(distinct)), dtype=float)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        vectors = unit_rows(embedder.encode(list(distinct)))
         return pd.Series(list(vectors[codes]), index=texts.index)
 
     return apply(text)
@@ -125,14 +143,22 @@ def token_count(text: Column, model) -> Column:
 
 
 class DenseIndex:
-    """Cosine search over the embeddings of a chunk table."""
+    """Cosine search over the embeddings of a chunk table.
+
+    A chunk table that already has a ``vector`` column (see ``vectors``) is
+    searched as it is; other chunks are encoded in the task that scores them.
+    """
 
     def __init__(self, chunks: DataFrame, embedder=None):
         self.embedder = embedder or HashingEmbedder()
         self.chunks = chunks
-        self.items = chunks.withColumn(
-            "vector", encode(F.col("text"), self.embedder)
-        ).withColumn("size", F.length("text"))
+        self.items = chunks.withColumn("size", F.length("text"))
+        stored = "vector" in chunks.columns
+        self.kernel = CosineKernel() if stored else EncodingKernel(self.embedder)
+
+    def vectors(self) -> DataFrame:
+        """The chunk table with unit vectors, ready to be written and reused."""
+        return self.chunks.withColumn("vector", encode(F.col("text"), self.embedder))
 
     @property
     def dimension(self) -> int:
@@ -154,7 +180,7 @@ class DenseIndex:
     def _select(self, queries, keep, payload, **options):
         asked = queries.select("query_id", encode(F.col("query"), self.embedder).alias("vector"))
         return select_best(
-            self.items, asked, CosineKernel(), keep, payload=tuple(payload),
+            self.items, asked, self.kernel, keep, payload=tuple(payload),
             query_size=F.lit(self.dimension * 8 + 16), **options,
         )
 

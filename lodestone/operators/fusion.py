@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.models import OverlapPairScorer
 from .blocks import DECIMALS, top_k
-from .chunking import dense_positions
+from .chunking import with_ordinals
 from .dense import DenseIndex
 from .lexical import BM25
 
@@ -109,9 +109,9 @@ class HybridRetriever:
             fused = score_fusion(sparse, dense, alpha, k)
         else:
             # Ties follow the digits of a chunk's ordinal in the whole index.
-            ordinals = dense_positions(self.chunks)
-            halves = [half.join(ordinals, "position") for half in (sparse, dense)]
-            fused = reciprocal_rank_fusion(halves, k, constant, tie="ordinal")
+            tagged = [half.withColumn("_half", F.lit(i)) for i, half in enumerate((sparse, dense))]
+            both = with_ordinals(tagged[0].unionByName(tagged[1]), self.chunks)
+            fused = reciprocal_rank_fusion([both], k, constant, tie="ordinal")
         texts = (
             sparse.select("query_id", "position", "text")
             .unionByName(dense.select("query_id", "position", "text"))

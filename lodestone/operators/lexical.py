@@ -36,7 +36,6 @@ class TermKernel:
         )
         vocabulary = pc.unique(words)
         column = pc.index_in(words, vocabulary).to_numpy(zero_copy_only=False)
-        matrix = np.zeros((len(vocabulary), len(terms)))
         if self.weigh == "bm25":
             df = flat.field("df").to_numpy(zero_copy_only=False).astype(float)
             everything = np.array([w == EVERYTHING for w in words.to_pylist()])
@@ -46,11 +45,23 @@ class TermKernel:
             weight[everything] = 0.0
         else:
             mean, weight = None, np.ones(len(flat))
-        np.add.at(matrix, (column, owner), weight)
-        return vocabulary, matrix, mean
+        # Kept as triples; only the terms a batch holds become matrix rows.
+        order = np.argsort(column, kind="stable")
+        ends = np.cumsum(np.bincount(column, minlength=len(vocabulary)))
+        return vocabulary, (ends, owner[order], weight[order], len(terms)), mean
+
+    @staticmethod
+    def _rows(triples, active: np.ndarray) -> np.ndarray:
+        ends, owner, weight, queries = triples
+        begins = np.r_[0, ends[:-1]][active]
+        sizes = ends[active] - begins
+        picked = np.repeat(begins - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        matrix = np.zeros((len(active), queries))
+        np.add.at(matrix, (np.repeat(np.arange(len(active)), sizes), owner[picked]), weight[picked])
+        return matrix
 
     def score(self, state, batch: pa.Table) -> np.ndarray:
-        vocabulary, matrix, mean = state
+        vocabulary, triples, mean = state
         tokens = batch.column("tokens").combine_chunks()
         if isinstance(tokens, pa.ChunkedArray):
             tokens = pa.concat_arrays(tokens.chunks)
@@ -62,7 +73,7 @@ class TermKernel:
         row = np.repeat(np.arange(rows), lengths)[known]
         active, local = np.unique(column, return_inverse=True)
         if not len(active):
-            return np.zeros((rows, matrix.shape[1]))
+            return np.zeros((rows, triples[3]))
         # Only the terms a row holds are weighed; the rest of the matrix is zero.
         cells, counts = np.unique(row * len(active) + local, return_counts=True)
         if self.weigh == "coverage":
@@ -74,7 +85,7 @@ class TermKernel:
             weights = counts
         present = np.zeros((rows, len(active)))
         present.ravel()[cells] = weights
-        return present @ matrix[active]
+        return present @ self._rows(triples, active)
 
 
 def _scored_items(chunks: DataFrame, tokenizer) -> DataFrame:
@@ -149,15 +160,10 @@ class BM25:
         self.items = _scored_items(chunks, tokenizer)
 
     def postings(self) -> DataFrame:
-        """``(term, position, tf)``. A chunk's terms are counted within its row,
-        so building postings moves no data."""
-        words = self.items.select("position", "tokens", F.array_distinct("tokens").alias("terms"))
-        rows = words.select("position", "tokens", F.explode("terms").alias("term"))
-        return rows.select(
-            "term",
-            "position",
-            F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("tf"),
-        )
+        """``(term, position, tf)``. A chunk lies in one task, which counts its
+        terms before they are clustered by term."""
+        words = self.items.select("position", F.explode("tokens").alias("term"))
+        return words.groupBy("term", "position").agg(F.count(F.lit(1)).alias("tf"))
 
     def doc_stats(self) -> DataFrame:
         return self.items.select("position", F.size("tokens").alias("dl"))

@@ -18,6 +18,8 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
 
     A file with one row group is read by one task however many splits it has.
     """
+    if not hasattr(frame, "_jdf"):
+        return frame
     cores = frame.sparkSession.sparkContext.defaultParallelism
     size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(str(size)) >= cores * SPLIT_BYTES:

@@ -180,7 +180,7 @@ def test_offset_drift(spark):
 
 def test_positions_and_ordinals(spark, corpus):
     chunks = C.build_index(corpus, 200)
-    rows = C.dense_positions(chunks).orderBy("position").collect()
+    rows = C.with_ordinals(chunks, chunks).orderBy("position").collect()
     assert [r["ordinal"] for r in rows] == list(range(len(rows)))
 
 

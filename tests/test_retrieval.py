@@ -108,6 +108,7 @@ def same(left, right):
 
 def test_grid_equals_broadcast(corpus, passages, monkeypatch):
     monkeypatch.setattr("lodestone.operators.blocks.GRID_QUERY_BYTES", 20_000)
+    monkeypatch.setattr("lodestone.operators.blocks.QUERIES_PER_STEP", 7)
     monkeypatch.setattr("lodestone.operators.blocks.GRID_ITEM_ROWS", 500)
     index = lexical.BM25(corpus)
     assert same(index.search(passages, 5), index.search(passages, 5, broadcast_limit=0))
