@@ -102,7 +102,8 @@ class HybridRetriever:
         if method not in METHODS:
             raise ValueError(f"unknown method {method!r}")
         if method in ("sparse", "dense"):
-            return self.half(queries, k, method)
+            # A prefix of the deeper list the fusions read is the same ranking.
+            return self.half(queries, max(k, depth), method).where(F.col("rank") <= k)
         sparse = self.half(queries, depth, "sparse")
         dense = self.half(queries, depth, "dense")
         if method == "score":
