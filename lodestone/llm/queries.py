@@ -38,3 +38,37 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import digest, scan
 
     return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's size and target."""
+    from .mixing import measured, mix
+
+    mixed = mix(measured(table(spark, sf_dir, "documents")))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+def tokenizer_file() -> str:
+    """Where the public tokenizer file lies on this machine and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token records of every document, written to files and read back from them."""
+    from .records import read, write
+
+    return read(write(table(spark, sf_dir, "documents"), tokenizer_file(), end=2))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 ids of every document, packed into sequences."""
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end=0, capacity=2048)
