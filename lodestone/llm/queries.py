@@ -72,3 +72,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end=0, capacity=2048)
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, 3-word shingles, similarity 0.9."""
+    from .jaccard import join
+
+    members, _ = join(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return members.select("doc_id", "n_shingles", "component_id")
