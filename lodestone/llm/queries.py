@@ -81,3 +81,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     members, _ = join(table(spark, sf_dir, "documents"), k=3, percent=90)
     return members.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at a cosine of 0.9 or more and components of all vectors."""
+    from .cover import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.expr("id <=> component_id").alias("kept")
+    )
