@@ -92,3 +92,18 @@ def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("vec_id"), "n_links", "component_id", F.expr("id <=> component_id").alias("kept")
     )
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text; a fifth of the labels is held out."""
+    from .toxicity import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
