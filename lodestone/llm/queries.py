@@ -107,3 +107,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without the 100-byte strings it repeats."""
+    from .suffixes import digest, removed
+
+    return digest(removed(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100))
