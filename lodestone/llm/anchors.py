@@ -8,7 +8,13 @@ texts around equal anchors misses no repeat.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 _STEP = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -60,3 +66,53 @@ def anchors(hashes: np.ndarray, w: int) -> np.ndarray:
     edge = np.zeros(w - 1, np.uint32)
     highest = _sliding(np.concatenate([edge, least, edge]), w, np.maximum)
     return np.flatnonzero(highest == order)
+
+
+def binary_rows(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes of one width as an Arrow column."""
+    n, width = rows.shape
+    ends = (np.arange(n + 1) * width).astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))]
+    )
+
+
+def repeated_anchors(docs: DataFrame, places_of: Callable, max_group: int) -> DataFrame:
+    """``doc_id, few, many``: places of anchors that occur again in ``docs`` (doc_id, text).
+
+    ``places_of`` gives the anchors of a text and their hashes. Those that occur
+    more than ``max_group`` times are listed apart, in ``many``.
+    """
+
+    def rows_of(ids, place, keys) -> pa.RecordBatch:
+        none = [np.empty(0, np.int64)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(ids or none)),
+                pa.array(np.concatenate(place or none).astype(np.int32)),
+                pa.array(np.concatenate(keys or [np.empty(0, np.uint64)]).view(np.int64)),
+            ],
+            ["doc_id", "place", "gram"],
+        )
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, place, keys, n = [], [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at, own = places_of(text)
+                ids.append(np.full(len(at), doc_id, np.int64))
+                place.append(at)
+                keys.append(own)
+                n += len(at)
+                if n > 1 << 18:
+                    yield rows_of(ids, place, keys)
+                    ids, place, keys, n = [], [], [], 0
+            yield rows_of(ids, place, keys)
+
+    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(find, "doc_id long, place int, gram long")
+    again = rows.withColumn("n", F.count("*").over(W.partitionBy("gram"))).where("n > 1")
+    often = F.col("n") > max_group
+    return again.groupBy("doc_id").agg(
+        F.collect_list(F.when(~often, F.col("place"))).alias("few"),
+        F.collect_list(F.when(often, F.col("place"))).alias("many"),
+    )

@@ -115,3 +115,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import digest, removed
 
     return digest(removed(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100))
+
+
+@query
+def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without the 35-word windows that occur again."""
+    from .fm_index import digest, removed
+
+    return digest(removed(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35))

@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .anchors import anchors, row_hashes, runs_of
+from .anchors import anchors, binary_rows, repeated_anchors, row_hashes, runs_of
 from .common import saved
 
 #: Bytes of an anchor, bytes of a text hashed at once, rows of a group and of a sort.
@@ -60,56 +59,12 @@ def places(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return place, np.concatenate(keys)[first]
 
 
-def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """``doc_id, few, many``: places of anchors that occur again, often ones apart."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, place, keys = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at, own = places(_text_bytes(text), length)
-                ids.append(np.full(len(at), doc_id, np.int64))
-                place.append(at)
-                keys.append(own)
-                if sum(map(len, ids)) > 1 << 18:
-                    yield _anchor_rows(ids, place, keys)
-                    ids, place, keys = [], [], []
-            yield _anchor_rows(ids, place, keys)
-
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(find, "doc_id long, place int, gram long")
-    again = rows.withColumn("n", F.count("*").over(W.partitionBy("gram"))).where("n > 1")
-    often = F.col("n") > MAX_GROUP
-    return again.groupBy("doc_id").agg(
-        F.collect_list(F.when(~often, F.col("place"))).alias("few"),
-        F.collect_list(F.when(often, F.col("place"))).alias("many"),
-    )
-
-
-def _anchor_rows(ids, place, keys) -> pa.RecordBatch:
-    none = [np.empty(0, np.int64)]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate(ids or none)),
-            pa.array(np.concatenate(place or none).astype(np.int32)),
-            pa.array(np.concatenate(keys or [np.empty(0, np.uint64)]).view(np.int64)),
-        ],
-        ["doc_id", "place", "gram"],
-    )
-
-
 def _around(data: bytes, at: np.ndarray, before: int, after: int) -> np.ndarray:
     """One row of bytes per place, zeros beyond the ends of the text."""
     padded = np.concatenate([np.zeros(before, np.uint8), np.frombuffer(data, np.uint8), np.zeros(after, np.uint8)])
     return np.lib.stride_tricks.sliding_window_view(padded, before + after)[at]
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    n, width = rows.shape
-    return pa.Array.from_buffers(
-        pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))]
-    )
-
-
 def contexts(matched: DataFrame, length: int) -> DataFrame:
     """The bytes around every rare enough repeated anchor, and how many are real."""
     before = length - ANCHOR
@@ -119,7 +74,7 @@ def contexts(matched: DataFrame, length: int) -> DataFrame:
             for doc_id, text, few in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if not few.is_valid or not len(few):
                     continue
-                data, at = _text_bytes(text), few.values.to_numpy().astype(np.int64)
+                data, at = _text_bytes(text), np.unique(few.values.to_numpy()).astype(np.int64)
                 at = at[at + ANCHOR <= len(data)]
                 for k in range(0, len(at), SORTED):
                     some = at[k : k + SORTED]
@@ -132,7 +87,7 @@ def contexts(matched: DataFrame, length: int) -> DataFrame:
                             pa.array(some.astype(np.int32)),
                             pa.array(np.minimum(some, before).astype(np.int16)),
                             pa.array(np.minimum(len(data) - some, length).astype(np.int16)),
-                            _binary(rows),
+                            binary_rows(rows),
                         ],
                         ["gram", "doc_id", "place", "left", "right", "bytes"],
                     )
@@ -328,7 +283,7 @@ def _frequent(matched: DataFrame, length: int) -> DataFrame:
                         [
                             pa.array(np.full(len(some), doc_id, np.int64)),
                             pa.array(some),
-                            _binary(_around(data, some, 0, length)),
+                            binary_rows(_around(data, some, 0, length)),
                         ],
                         ["doc_id", "start", "string"],
                     )
@@ -357,7 +312,9 @@ def removed(docs: DataFrame, length: int, partitions: int | None = None) -> Data
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = saved(repeated_anchors(docs, length), "repeated-anchors")
+    marks = saved(
+        repeated_anchors(docs, lambda text: places(_text_bytes(text), length), MAX_GROUP), "repeated-anchors"
+    )
     dealt = docs.repartition(n, "doc_id")
     matched = dealt.join(marks.hint("shuffle_hash"), "doc_id", "left")
     found = _grouped(contexts(matched, length), length)
