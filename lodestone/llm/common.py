@@ -53,6 +53,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def narrowed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` as the needed columns and one struct ``rest`` of all others.
+
+    Operators add columns of their own; inside the struct no name can clash.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*others or [F.lit(0).alias("none")]).alias("rest"))
+
+
+def restored(frame: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in their order, from a frame that ``narrowed`` began."""
+    inside = set(frame.schema["rest"].dataType.names)
+    return frame.select(*[F.col(f"rest.`{c}`").alias(c) if c in inside else F.col(f"`{c}`") for c in docs.columns])
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``(id, component_id)`` of every node of ``edges``: the smallest id it reaches.
 

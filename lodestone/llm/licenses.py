@@ -230,13 +230,12 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(lowered, GAP, " "))
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_words``, base places and labels, detections and a score."""
-    plain = F.coalesce(F.col(text), F.lit(""))
+def scan(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_words`` and ``found``: base places and surviving detections."""
+    plain = F.coalesce(F.col("text"), F.lit(""))
     of = let(F.lower(plain), lambda low: F.when(_any(low), let(normalized(plain), _report)))
-    return docs.withColumn("n_words", F.size(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))).cast("long")).withColumn(
-        "found", of
-    )
+    words = F.size(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0)))
+    return docs.select("doc_id", words.cast("long").alias("n_words"), of.alias("found"))
 
 
 def _any(low: Column) -> Column:

@@ -84,14 +84,14 @@ def mix(
     seed: str = "mix",
     affinity: str | None = None,
 ) -> DataFrame:
-    """``docs`` (doc_id, source, size, others kept) with ``source_size``, ``target`` and ``copies``.
+    """``doc_id, source, size, source_size, target, copies`` of every row of ``docs``.
 
     ``affinity`` names a positive column by which documents of one source are
     preferred to each other; without it all have the same chance.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     liked = F.lit(1.0) if affinity is None else F.col(affinity).cast("double")
-    rows = docs.withColumn("_key", key).withColumn("_liked", liked)
+    rows = docs.select("doc_id", "source", "size", key.alias("_key"), liked.alias("_liked"))
     per_source = rows.groupBy("_key").agg(
         F.first("source").alias("source"),
         F.sum("size").alias("source_size"),
@@ -157,7 +157,7 @@ def mix(
     return (
         placed.join(last, "_key", "left")
         .withColumn("copies", (F.col("_whole") + F.when(taken, 1).otherwise(0)).cast("long"))
-        .select(*docs.columns, "source_size", "target", "copies")
+        .select("doc_id", "source", "size", "source_size", "target", "copies")
     )
 
 
