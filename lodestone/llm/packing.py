@@ -47,11 +47,11 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFram
         encoder = encoder_of(tokenizer)
         for batch in batches:
             rows = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = framed(encoder.ids(text.as_py()), end)
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
+                ids = framed(own, end)
                 for k, at in enumerate(range(0, len(ids), capacity)):
-                    own = ids[at : at + capacity]
-                    for column, value in zip(rows, (doc_id, k, at, len(own), crc(own))):
+                    part = ids[at : at + capacity]
+                    for column, value in zip(rows, (doc_id, k, at, len(part), crc(part))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(r, pa.int32() if i == 1 else pa.int64()) for i, r in enumerate(rows)],

@@ -95,10 +95,10 @@ def write(docs: DataFrame, tokenizer: str, end: int, folder: str | None = None)
         entries, total, offset, stream = [], 0, 0, None
         try:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for doc_id, own in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
                     if stream is None:
                         stream = system.open_output_stream(f"{at}/{name}.bin")
-                    ids = framed(encoder.ids(text.as_py()), end)
+                    ids = framed(own, end)
                     data = record(ids.astype(f"<u{width}").tobytes())
                     stream.write(data)
                     entries.append((doc_id or 0, doc_id is not None, offset, len(ids)))
