@@ -238,7 +238,10 @@ def near_duplicates(vectors: DataFrame, cosine: float) -> DataFrame:
     classes = rows.where(valid).groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     classes = saved(classes, "vector-classes")
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("unit").collect()
-    top = top_cells(np.frombuffer(b"".join(bytes(r["unit"]) for r in sample), np.float64).reshape(len(sample), -1), MAX_CELLS)
+    if not sample:  # no vector that could link
+        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    points = np.frombuffer(b"".join(bytes(r["unit"]) for r in sample), np.float64)
+    top = top_cells(points.reshape(len(sample), -1), MAX_CELLS)
 
     def assign(batches):
         for batch in batches:
