@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_pareto_mix": oracles.MIX,
+    "op3_cover_tree": oracles.COVER,
+    "op4_suffix_dedup": oracles.SUFFIXES,
+    "op5_jaccard_join": oracles.JACCARD,
+    "op7_fm_index_dedup": oracles.WINDOWS,
+}
 
 
 def query(build):
