@@ -223,7 +223,7 @@ def poisoning(spark, sf_dir):
 def abstention(spark, sf_dir):
     """Passages are answerable where retrieved; passages spelled backwards are not."""
     asked = hold(questions(spark, sf_dir))
-    nobody = hold(asked.select((F.col("query_id") + 1_000_000).alias("query_id"), F.reverse("query").alias("query")))
+    nobody = hold(asked.select((-1 - F.col("query_id")).alias("query_id"), F.reverse("query").alias("query")))
     both = asked.select("query_id", "query").unionByName(nobody)
     context = hold(lexical.BM25(chunks(spark, sf_dir)).search(both, K, payload=("text",)))
     row = answering.abstention_report(answering.Generator(), context, asked, nobody)

@@ -348,7 +348,9 @@ def metadata_select(spark, sf_dir):
 def mixed_sources(spark, sf_dir):
     """One index over documents and conversation turns, and its length spread."""
     turns = tables.spread(tables.table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    key = F.col("conv_id") * 4096 + F.col("turn")
+    key = F.when(F.col("turn").between(0, 4095), F.col("conv_id") * 4096 + F.col("turn")).otherwise(
+        F.raise_error(F.lit("a conversation has more turns than a document order can number"))
+    )
     turns = turns.select(
         key.alias("doc_id"), key.alias("doc_order"), "text",
         F.create_map(F.lit("kind"), F.lit("conversations")).alias("metadata"),

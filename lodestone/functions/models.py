@@ -70,7 +70,11 @@ class OverlapPairScorer:
 
 class ExtractiveGenerator:
     """Answers with the context sentence sharing most words with the question,
-    or abstains when fewer than ``threshold`` of them occur in any sentence."""
+    or abstains when fewer than ``threshold`` of them occur in any sentence.
+
+    ``max_input_tokens`` is what a caller may ask a model for; contexts are never
+    cut to it.
+    """
 
     def __init__(self, threshold: float = 0.25, max_input_tokens: int = 512):
         self.threshold, self.max_input_tokens = threshold, max_input_tokens

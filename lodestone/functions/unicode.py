@@ -108,7 +108,9 @@ def normalized_with_map(text: Column, form: str = "NFC") -> Column:
     @F.pandas_udf("norm string, map array<int>")
     def apply(values: pd.Series) -> pd.DataFrame:
         pairs = [
-            (None, None) if value is None else normalize_with_offsets(value, form)
+            (None, None)
+            if value is None or unicodedata.is_normalized(form, value)
+            else normalize_with_offsets(value, form)
             for value in values
         ]
         return pd.DataFrame(pairs, columns=["norm", "map"])

@@ -66,7 +66,7 @@ class _Selection:
         if reach < len(keyed):
             cut = np.partition(keyed, len(keyed) - reach, axis=0)[len(keyed) - reach]
             floor = np.maximum(floor, cut)
-        wanted = keyed >= floor
+        wanted = (keyed >= floor) & (keyed > -np.inf)
         if self.keep.matched_only:
             wanted &= scores > 0
         item, query = np.nonzero(wanted)
@@ -139,9 +139,11 @@ def select_best(
 ) -> DataFrame:
     """``(query_id, rank, *order, score, *payload)`` of the surviving items.
 
-    ``kernel`` has ``prepare(query_table) -> state`` and ``score(state, batch)
-    -> (rows x queries) array``. ``queries`` carries ``query_id`` and whatever
-    the kernel reads. Ties go to the smaller ``order`` values.
+    ``kernel`` has ``prepare(query_table) -> state``, ``load(batch) -> loaded``
+    and ``score(state, loaded) -> (rows x queries) array``; a batch is loaded
+    once however many blocks of queries there are. An item scored ``-inf`` is no
+    candidate. ``queries`` carries ``query_id`` and whatever the kernel reads.
+    Ties go to the smaller ``order`` values.
     """
     limit = session.BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
     query_size = F.lit(64) if query_size is None else query_size
@@ -201,9 +203,9 @@ def _scan(kernel, keep, order, size, columns, block, batches, arrow):
         table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
         for start in range(0, table.num_rows, ROWS_PER_STEP):
             part = table.slice(start, ROWS_PER_STEP)
-            wanted = part.select(columns)
+            wanted, loaded = part.select(columns), kernel.load(part)
             for _, state, chosen in steps:
-                chosen.offer(kernel.score(state, part), wanted)
+                chosen.offer(kernel.score(state, loaded), wanted)
     for ids, _, chosen in steps:
         if chosen.rows is not None:
             yield from chosen.result(ids, arrow).to_batches()

@@ -18,6 +18,8 @@ from ..functions import unicode as U
 
 STRATEGIES = ("fixed", "sentence")
 POSITION_SHIFT = 24
+#: Above the document order: the number of the source in a union.
+SOURCE_SHIFT, MAX_SOURCES = 59, 16
 CHUNK_COLUMNS = ["doc_id", "chunk_index", "position", "text", "start", "end", "metadata"]
 
 # Words that end in a period without ending a sentence.
@@ -294,10 +296,24 @@ def chunk_documents(
 
 
 def order_key(doc_order: Column, chunk_index: Column) -> Column:
-    """Integer that sorts like (document order, chunk index)."""
-    key = F.shiftleft(doc_order.cast("bigint"), POSITION_SHIFT) + chunk_index
-    return F.when(chunk_index < 1 << POSITION_SHIFT, key).otherwise(
-        F.raise_error(F.lit("a document has more chunks than a position can number"))
+    """Integer that sorts like (document order, chunk index).
+
+    An order or an index that the integer cannot hold fails the job: two chunks
+    never get the same position. Documents with ids outside the range need a
+    ``doc_order`` of their own.
+    """
+    order = doc_order.cast("bigint")
+    key = F.shiftleft(order, POSITION_SHIFT) + chunk_index
+    return (
+        F.when(
+            (order < 0) | (order >= 1 << (SOURCE_SHIFT - POSITION_SHIFT)),
+            F.raise_error(F.lit("a document order lies outside what a position can number")),
+        )
+        .when(
+            chunk_index >= 1 << POSITION_SHIFT,
+            F.raise_error(F.lit("a document has more chunks than a position can number")),
+        )
+        .otherwise(key)
     )
 
 
@@ -351,8 +367,21 @@ def select(chunks: DataFrame, **filters) -> DataFrame:
 
 
 def union_chunks(*sources: DataFrame) -> DataFrame:
-    """Chunks of several sources in one index."""
-    return reduce(lambda a, b: a.unionByName(b), [s.select(*CHUNK_COLUMNS) for s in sources])
+    """Chunks of several sources in one index, numbered source after source.
+
+    Positions of a source are shifted by its number, so chunks of two sources
+    stay apart whatever their documents are called. A union is not a source.
+    """
+    if len(sources) > MAX_SOURCES:
+        raise ValueError(f"at most {MAX_SOURCES} sources fit one index, got {len(sources)}")
+
+    def placed(frame: DataFrame, number: int) -> DataFrame:
+        position = F.when(
+            F.col("position") < 1 << SOURCE_SHIFT, F.col("position") + (number << SOURCE_SHIFT)
+        ).otherwise(F.raise_error(F.lit("a source's position is already that of a union")))
+        return frame.select(*CHUNK_COLUMNS).withColumn("position", position)
+
+    return reduce(lambda a, b: a.unionByName(b), [placed(s, i) for i, s in enumerate(sources)])
 
 
 # --- measurements ----------------------------------------------------------

@@ -34,12 +34,15 @@ class CosineKernel:
         sizes = np.linalg.norm(asked, axis=1, keepdims=True)
         return (asked / np.maximum(sizes, V.TINY)).T
 
-    def score(self, state: np.ndarray, batch: pa.Table) -> np.ndarray:
-        return matrix_of(batch.column("vector")) @ state
+    def load(self, batch: pa.Table) -> np.ndarray:
+        return matrix_of(batch.column("vector"))
+
+    def score(self, state: np.ndarray, loaded: np.ndarray) -> np.ndarray:
+        return loaded @ state
 
 
 class EncodingKernel:
-    """Cosine scores of texts encoded where they lie."""
+    """Cosine scores of texts encoded where they lie, each once."""
 
     columns = ("text",)
 
@@ -48,8 +51,10 @@ class EncodingKernel:
 
     prepare = CosineKernel.prepare
 
-    def score(self, state: np.ndarray, batch: pa.Table) -> np.ndarray:
-        return unit_rows(self.embedder.encode(batch.column("text").to_pylist())) @ state
+    def load(self, batch: pa.Table) -> np.ndarray:
+        return unit_rows(self.embedder.encode(batch.column("text").to_pylist()))
+
+    score = CosineKernel.score
 
 
 def unit_rows(vectors) -> np.ndarray:

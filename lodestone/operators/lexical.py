@@ -40,6 +40,8 @@ class TermKernel:
             df = flat.field("df").to_numpy(zero_copy_only=False).astype(float)
             everything = np.array([w == EVERYTHING for w in words.to_pylist()])
             total = df[everything][0]
+            if not total:
+                raise ValueError("cannot search an index over no chunks")
             mean = flat.field("dl").to_numpy(zero_copy_only=False).astype(float)[everything][0] / total
             weight = uses * np.log1p((total - df + 0.5) / (df + 0.5))
             weight[everything] = 0.0
@@ -60,11 +62,12 @@ class TermKernel:
         np.add.at(matrix, (np.repeat(np.arange(len(active)), sizes), owner[picked]), weight[picked])
         return matrix
 
-    def score(self, state, batch: pa.Table) -> np.ndarray:
-        vocabulary, triples, mean = state
+    def load(self, batch: pa.Table) -> pa.ListArray:
         tokens = batch.column("tokens").combine_chunks()
-        if isinstance(tokens, pa.ChunkedArray):
-            tokens = pa.concat_arrays(tokens.chunks)
+        return pa.concat_arrays(tokens.chunks) if isinstance(tokens, pa.ChunkedArray) else tokens
+
+    def score(self, state, tokens: pa.ListArray) -> np.ndarray:
+        vocabulary, triples, mean = state
         rows = len(tokens)
         lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
         place = pc.index_in(tokens.flatten(), vocabulary)
@@ -160,10 +163,16 @@ class BM25:
         self.items = _scored_items(chunks, tokenizer)
 
     def postings(self) -> DataFrame:
-        """``(term, position, tf)``. A chunk lies in one task, which counts its
-        terms before they are clustered by term."""
-        words = self.items.select("position", F.explode("tokens").alias("term"))
-        return words.groupBy("term", "position").agg(F.count(F.lit(1)).alias("tf"))
+        """``(term, position, tf)``. A chunk is one row, whose equal terms are
+        counted inside it: nothing is shuffled."""
+        counted = F.transform(
+            F.array_distinct("tokens"),
+            lambda t: F.struct(
+                t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).cast("long").alias("tf")
+            ),
+        )
+        pairs = self.items.select("position", F.explode(counted).alias("p"))
+        return pairs.select("p.term", "position", "p.tf")
 
     def doc_stats(self) -> DataFrame:
         return self.items.select("position", F.size("tokens").alias("dl"))

@@ -49,7 +49,7 @@ def use_checkpoints(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if not configured:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="lodestone-checkpoints-")
     context.setCheckpointDir(configured)

@@ -192,15 +192,15 @@ def test_bm25_reproduces_published_rates(spark, asked, handbook):
     assert got == [94, 94, 94, 88, 94, 94, 88]
     tabular, source = (H.text_documents(spark, t) for t in (H.EXPENSE_TABLE, H.POLICY_CODE))
 
-    def extra(frame, first):
+    def extra(frame):
         rows = frame.select("doc_id", F.inline("c"))
         return rows.select(
-            "doc_id", "chunk_index", (F.col("chunk_index") + (first << 24)).cast("bigint").alias("position"),
+            "doc_id", "chunk_index", F.col("chunk_index").cast("bigint").alias("position"),
             "text", "start", "end", F.create_map().cast("map<string,string>").alias("metadata"),
         )
 
-    table = extra(structured.with_table_chunks(tabular, "text", "c", 6), 100)
-    code = extra(source.withColumn("c", structured.python_chunks(F.col("text"))), 101)
+    table = extra(structured.with_table_chunks(tabular, "text", "c", 6))
+    code = extra(source.withColumn("c", structured.python_chunks(F.col("text"))))
     mixed = C.union_chunks(handbook, table, code).persist()
     assert mixed.count() == 33
     assert round(C.length_dispersion(mixed).first()["cv"], 2) == 0.80
@@ -353,3 +353,55 @@ def test_truncation(spark):
     chunks = H.text_chunks(spark, "short text", text.first()["text"])
     index = dense.DenseIndex(chunks)
     assert [r["position"] for r in index.truncated_chunks().collect()] == [1]
+
+
+def one_document(spark, doc_order, text):
+    frame = spark.createDataFrame([(doc_order, text)], "doc_order long, text string")
+    return frame.select(
+        F.lit("d").alias("doc_id"), "doc_order", "text",
+        F.create_map().cast("map<string,string>").alias("metadata"),
+    )
+
+
+def test_union_keeps_chunks_of_equal_documents_apart(spark):
+    sources = [C.build_index(one_document(spark, 0, f"shared words {w}."), 200) for w in ("left", "right")]
+    asked = spark.createDataFrame([(1, "shared words")], "query_id long, query string")
+    found = lexical.BM25(C.union_chunks(*sources)).search(asked, 5, payload=("text",)).collect()
+    assert sorted(r["text"] for r in found) == ["shared words left.", "shared words right."]
+    assert [r["text"] for r in sorted(found, key=lambda r: r["position"])] == ["shared words left.", "shared words right."]
+    with pytest.raises(Exception, match="already that of a union"):
+        nested = C.union_chunks(*sources)
+        C.union_chunks(nested, nested).collect()
+
+
+@pytest.mark.parametrize("order", [2**35, 2**40, 2**41, -1])
+def test_document_orders_out_of_range_fail(spark, order):
+    with pytest.raises(Exception, match="outside what a position can number"):
+        C.build_index(one_document(spark, order, "some text."), 200).select("position").collect()
+
+
+def test_largest_document_order_fits(spark):
+    row = C.build_index(one_document(spark, 2**35 - 1, "some text."), 200).first()
+    assert row["position"] == (2**35 - 1) << 24
+
+
+def test_texts_are_encoded_once_for_all_query_blocks():
+    import numpy as np
+    import pyarrow as pa
+    from lodestone.operators import blocks, dense
+
+    class Counting:
+        seen = 0
+
+        def encode(self, texts):
+            self.seen += len(texts)
+            return np.ones((len(texts), 4))
+
+    embedder = Counting()
+    asked = pa.table({"query_id": range(700), "vector": [[1.0, 0, 0, 0]] * 700})
+    batch = pa.table({"position": range(50), "text": ["t"] * 50})
+    schema = pa.schema([("query_id", pa.int64()), ("position", pa.int64()), ("score", pa.float64())])
+    out = list(
+        blocks._scan(dense.EncodingKernel(embedder), blocks.Keep(k=1), ("position",), "size", ["position"], asked, [batch], schema)
+    )
+    assert embedder.seen == 50 and sum(b.num_rows for b in out) == 700
