@@ -29,6 +29,8 @@ from pyspark.sql.window import Window as W
 from .common import WORD, saved
 
 BUCKETS = 4096
+#: Tables of one row per source are broadcast up to so many sources.
+BROADCAST_SOURCES = 100_000
 MAX_REPEATS = 3
 
 
@@ -98,12 +100,18 @@ def mix(
         F.sum(F.col("size") * F.col("_liked")).alias("_mass"),
     )
     goals = targets(per_source.select("source", "source_size"), weights, max_repeats)
-    per_source = per_source.select("_key", "_mass").join(
-        goals.withColumn("_key", key).drop("source"), "_key"
+    per_source = saved(
+        per_source.select("_key", "_mass").join(goals.withColumn("_key", key).drop("source"), "_key"), "sources"
     )
+    few = per_source.count() <= BROADCAST_SOURCES
+
+    def by_source(table: DataFrame) -> DataFrame:
+        """A table of one row per source, sent to the documents if it is small."""
+        return F.broadcast(table) if few else table
+
     expected = F.when(F.col("_mass") > 0, F.col("target") / F.col("_mass") * F.col("_liked")).otherwise(0.0)
     rows = (
-        rows.join(per_source, "_key")
+        rows.join(by_source(per_source), "_key")
         .withColumn("_expected", F.least(expected, F.lit(float(max_repeats))))
         .withColumn("_whole", F.floor("_expected"))
         .withColumn("_p", F.when(F.col("size") > 0, F.col("_expected") - F.col("_whole")).otherwise(0.0))
@@ -146,7 +154,7 @@ def mix(
     )
     last = (
         placed.where((F.col("_p") > 0) & ~F.col("_fits"))
-        .join(open_words, "_key")
+        .join(by_source(open_words), "_key")
         .where(F.abs(F.col("size") - F.col("_gap")) < F.col("_gap"))
         .groupBy("_key")
         .agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("off"), "_rank", "doc_id", "_bucket", "_nth")).alias("_last"))
@@ -155,7 +163,7 @@ def mix(
         (F.col("_bucket") == F.col("_last._bucket")) & (F.col("_nth") == F.col("_last._nth")), F.lit(False)
     )
     return (
-        placed.join(last, "_key", "left")
+        placed.join(by_source(last), "_key", "left")
         .withColumn("copies", (F.col("_whole") + F.when(taken, 1).otherwise(0)).cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "copies")
     )
