@@ -1,11 +1,13 @@
 """Toxicity: a linear classifier on character n-grams scaled by log-count ratios.
 
-Presence of character n-grams (hashed into a fixed number of slots) is counted per
-class over all training texts, where they are stored. The naive Bayes log-count
-ratio of a slot is the scale of its feature; the slots that tell the classes apart
-best are the features. A logistic regression over the scaled features is fitted on
-a bounded sample of training texts (SAMPLE of either class, by hash of the id) and
-scores every text in one pass. Labels are only read for training rows; nothing but
+The classifier is fitted on a bounded sample of the labelled training rows, taken by
+hash of the id: at most COUNTED rows of either class. Their ids go to the texts, so
+no text is shuffled. Presence of character n-grams (hashed into a fixed number of
+slots) is counted per class. The naive Bayes log-count ratio of a slot is the scale
+of its feature; the slots that tell the classes apart best are the features. A
+logistic regression over the scaled features is fitted on the first SAMPLE rows of
+either class, weighted to the classes' sizes among all training rows, and scores
+every text in one pass. Labels are only read for training rows; nothing but
 the text goes into a score.
 
 Defined cases: a null or empty text has no feature and gets the score of the
@@ -25,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Lengths of the n-grams in bytes, and slots they are hashed into (a power of two).
 SHORTEST, LONGEST = 3, 6
 SLOT_BITS = 19
 #: Slots that become features, and training texts of each class that are fitted.
 FEATURES, SAMPLE = 3000, 3000
+#: Training texts of each class whose n-grams are counted (12 bytes each are sent).
+COUNTED = 20_000
 SMOOTHING = 1.0
 #: Texts a slot must occur in.
 MIN_TEXTS = 3
@@ -123,13 +129,23 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, f
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0/1)."""
-    known = (
+    known = saved(
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
         .where(~held_out(F.col("doc_id")))
+        .join(docs.select("doc_id").distinct(), "doc_id"),
+        "training-labels",
     )
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+
+    def sample(most: int) -> DataFrame:
+        """So many training rows of either class at most, the same on every run."""
+        halves = [
+            known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)
+        ]
+        return F.broadcast(halves[0].union(halves[1]))
+
+    rows = docs.select("doc_id", "text").join(sample(COUNTED), "doc_id").select("text", "toxic")
     size = 1 << SLOT_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +160,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         some = np.flatnonzero(seen.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], ["slot", "n0", "n1"])
 
-    sizes = {r["toxic"]: r["n"] for r in known.join(docs.select("doc_id"), "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    totals = np.array([[sizes.get(0, 0), sizes.get(1, 0)]], np.float64)
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    everything = np.array([sizes.get(0, 0), sizes.get(1, 0)], np.float64)
+    totals = np.minimum(everything, COUNTED)[None, :]
     none = Model(np.full(size, -1, np.int16), np.zeros(0), 0.0)
     if totals.min() == 0:
-        share = totals[0, 1] / totals.sum() if totals.sum() else 0.5
+        share = everything[1] / everything.sum() if everything.sum() else 0.5
         return Model(none.feature_of, none.weights, math.log((share + 1e-6) / (1 - share + 1e-6)))
     # One row per slot, a fixed number however many texts there are.
     table = (
@@ -164,9 +181,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     feature_of = np.full(size, -1, np.int16)
     feature_of[slot[best]] = np.arange(len(best), dtype=np.int16)
     ratios = _ratios(counts[best], totals)
-    chosen = known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).union(
-        known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    )
     plain = Model(feature_of, ratios, 0.0)
 
     def features(batches):
@@ -174,17 +188,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             found = [plain.present(t.as_py()).astype("<i2").tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], ["toxic", "features"])
 
-    sample = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    fitted = (
+        docs.select("doc_id", "text").join(sample(SAMPLE), "doc_id").select("text", "toxic")
         .mapInArrow(features, "toxic int, features binary").toArrow()
     )
-    y = sample.column("toxic").to_numpy().astype(np.float32)
+    y = fitted.column("toxic").to_numpy().astype(np.float32)
     x = np.zeros((len(y), len(best)), np.float32)
-    for i, f in enumerate(sample.column("features").to_pylist()):
+    for i, f in enumerate(fitted.column("features").to_pylist()):
         at = np.frombuffer(f, "<i2")
         x[i, at] = ratios[at]
     # Rows of either class stand for as many as there are of it.
-    weight = np.where(y == 1, totals[0, 1] / max((y == 1).sum(), 1), totals[0, 0] / max((y == 0).sum(), 1))
+    weight = np.where(y == 1, everything[1] / max((y == 1).sum(), 1), everything[0] / max((y == 0).sum(), 1))
     w, b = fit(x, y, weight)
     return Model(feature_of, w * ratios, b)
 
