@@ -115,29 +115,46 @@ def top_cells(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[centres]
 
 
+def paths(x: np.ndarray, reach: float) -> np.ndarray:
+    """Row of the centre of every vector at each level of a block, coarsest first."""
+    levels = [np.zeros(len(x), np.int64)]
+    radius = 1.0
+    while radius > reach / 8:
+        radius /= 2
+        above, below = levels[-1], np.empty(len(x), np.int64)
+        order = np.argsort(above, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, above[order][1:] != above[order][:-1]])
+        for rows in np.split(order, cuts[1:]):
+            if len(rows) == 1:
+                below[rows] = rows
+                continue
+            inside, owner = net(x[rows], radius, np.flatnonzero(rows == above[rows[0]]))
+            below[rows] = rows[inside][owner]
+        levels.append(below)
+        if (below == np.arange(len(x))).all():
+            break
+    return np.stack(levels, 1)
+
+
 class Tree:
     """Levels of nodes over the vectors of a block, each node with its covering radius."""
 
-    def __init__(self, x: np.ndarray, reach: float):
+    def __init__(self, x: np.ndarray, path: np.ndarray):
         self.x = x
         self.levels: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
         self.children: list[list[np.ndarray]] = []
-        members = [np.arange(len(x))]
-        radius = 1.0
-        self._level(np.zeros(1, np.int64), members)
-        while radius > reach / 8 and any(len(m) > 1 for m in self.levels[-1][2]):
-            radius /= 2
-            centres, members, kids = [], [], []
-            for centre, rows in zip(self.levels[-1][0], self.levels[-1][2]):
-                own = np.flatnonzero(rows == centre)
-                inside, owner = net(x[rows], radius, own)
-                kids.append(np.arange(len(centres), len(centres) + len(inside)))
-                order = np.argsort(owner, kind="stable")
-                cuts = np.searchsorted(owner[order], np.arange(1, len(inside)))
-                centres.extend(rows[inside])
-                members.extend(rows[part] for part in np.split(order, cuts))
-            self.children.append(kids)
-            self._level(np.array(centres, np.int64), members)
+        parents = np.zeros(len(x), np.int64)
+        for level in range(path.shape[1]):
+            centres, node = np.unique(path[:, level], return_inverse=True)
+            order = np.argsort(node, kind="stable")
+            members = np.split(order, np.searchsorted(node[order], np.arange(1, len(centres))))
+            if level:
+                above = parents[[m[0] for m in members]]
+                kids = np.argsort(above, kind="stable")
+                most = len(self.levels[-1][0])
+                self.children.append(np.split(kids, np.searchsorted(above[kids], np.arange(1, most))))
+            self._level(centres, members)
+            parents = node
 
     def _level(self, centres: np.ndarray, members: list[np.ndarray]) -> None:
         radii = np.array([_gaps(self.x[m], self.x[c][None, :]).max() if len(m) > 1 else 0.0 for c, m in zip(centres, members)])
@@ -273,6 +290,9 @@ def near_duplicates(vectors: DataFrame, cosine: float) -> DataFrame:
             apart = float(_gaps(top[cell][None, :], top[other][None, :])[0, 0]) if other != cell else 0.0
             if apart <= radius + far + reach + SLACK:
                 partners += [(x, y, x * first + y) for x in range(at, at + n) for y in range(start, start + m) if x <= y]
+    depth = 1
+    while 0.5 ** (depth - 1) > reach / 8:
+        depth += 1
     plan = spark.createDataFrame(blocks, "cell long, first long, n long, radius double").select("cell", "first", "n")
     sides = spark.createDataFrame(
         [(x, p, 0) for x, _, p in partners] + [(y, p, 1) for x, y, p in partners if x != y], "block long, pair long, side int"
@@ -281,6 +301,17 @@ def near_duplicates(vectors: DataFrame, cosine: float) -> DataFrame:
         "id", "weight", "unit", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).alias("block")
     )
 
+    def level(table: pa.Table) -> pa.Table:
+        """The levels of one block, built once for all tasks that compare it."""
+        table = table.combine_chunks().sort_by("id")
+        ids, path = table.column("id").to_numpy(), paths(_matrix(table.column("unit")), reach)
+        path = np.concatenate([path] + [path[:, -1:]] * (depth - path.shape[1]), 1)
+        centres = pa.FixedSizeListArray.from_arrays(pa.array(ids[path].ravel()), depth).cast(pa.list_(pa.int64()))
+        return table.append_column("path", centres)
+
+    kept = "id long, weight long, unit binary, block long, path array<long>"
+    blocked = saved(blocked.groupBy("block").applyInArrow(level, kept), "blocks")
+
     def compare(table: pa.Table) -> pa.Table:
         parts = []
         for side in (0, 1):
@@ -288,12 +319,14 @@ def near_duplicates(vectors: DataFrame, cosine: float) -> DataFrame:
             ids = own.column("id").to_numpy()
             order = np.argsort(ids)
             x = _matrix(own.column("unit"))
-            parts.append((ids[order], own.column("weight").to_numpy()[order], x[order] if len(x) else x))
-        (ids, weight, x), (ids_b, weight_b, y) = parts
-        if not len(ids_b):
-            n_a, n_b, sets = links(Tree(x, reach), None, weight, None, cosine)
-        else:
-            n_a, n_b, sets = links(Tree(x, reach), Tree(y, reach), weight, weight_b, cosine)
+            tree = None
+            if len(ids):
+                path = np.concatenate([c.flatten().to_numpy() for c in own.column("path").chunks])
+                path = np.searchsorted(ids[order], path.reshape(len(ids), depth)[order])
+                tree = Tree(x[order], path)
+            parts.append((ids[order], own.column("weight").to_numpy()[order], tree))
+        (ids, weight, a), (ids_b, weight_b, b) = parts
+        n_a, n_b, sets = links(a, b, weight, weight_b, cosine)
         every = np.concatenate([ids, ids_b]) if len(ids_b) else ids
         roots = every[[sets.find(i) for i in range(len(every))]]
         counts = np.concatenate([n_a, n_b])
@@ -308,7 +341,7 @@ def near_duplicates(vectors: DataFrame, cosine: float) -> DataFrame:
 
     found = saved(
         blocked.join(sides, "block")
-        .select("pair", "side", "id", "weight", "unit")
+        .select("pair", "side", "id", "weight", "unit", "path")
         .groupBy("pair")
         .applyInArrow(compare, "id long, links long, root long"),
         "vector-links",
