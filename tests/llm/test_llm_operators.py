@@ -340,6 +340,40 @@ def test_jaccard_of_a_large_near_copy_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in members.collect()} == grouped(sets, linked)
 
 
+@pytest.mark.parametrize("part", [256, 16])
+def test_jaccard_gives_every_link(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "PART_SETS", part)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    rng = np.random.default_rng(3)
+    texts = []
+    for group in range(3):
+        for i in range(80):
+            words = [f"g{group}w{x}" for x in range(200 + int(rng.integers(0, 40)))]
+            for at in rng.integers(0, 200, 1):
+                words[at] = f"z{i}x{at}"
+            texts.append((100 * group + i, " ".join(words)))
+    texts += [(900 + i, texts[i][1]) for i in range(5)] + [texts[0], (1000, "alone"), (1001, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = {i: grams(t, 3) for i, t in texts if i < 900}
+    expected = [
+        (a, b) for a in sets for b in sets
+        if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) and sets[a] != sets[b]
+    ]
+    members, links = jaccard.join(frame, 3, 90)
+    same([tuple(r) for r in links.collect()], expected)
+    assert len(expected) > 3 * 80 and {r["class_id"] for r in members.where("doc_id >= 900").collect()} == {*range(5), 1000, 1001}
+
+
+def test_jaccard_links_of_given_texts(docs):
+    sets = {i: grams(t, 3) for i, t in pairs(docs) if i is not None}
+    smallest = {}
+    for i in sorted(sets):
+        smallest.setdefault(sets[i], i)
+    ids = [i for s, i in smallest.items() if s]
+    expected = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])]
+    same([tuple(r) for r in jaccard.join(docs, 3, 60)[1].collect()], expected)
+
+
 @pytest.mark.parametrize("block", [8192, 40])
 def test_cover_tree(spark, sf, monkeypatch, block):
     monkeypatch.setattr(cover, "BLOCK_ROWS", block)
