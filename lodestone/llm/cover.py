@@ -284,18 +284,27 @@ def near_duplicates(vectors: DataFrame, cosine: float) -> DataFrame:
         blocks.append((c["cell"], first, n, c["radius"]))
         first += n
     reach = math.sqrt(2.0 - 2.0 * cosine)
-    partners: list[tuple[int, int, int]] = []
+    # Pairs of cells are few; Spark lists the pairs of their blocks, which grow with the rows.
+    partners: list[tuple[int, int, int, int]] = []
     for i, (cell, at, n, radius) in enumerate(blocks):
         for other, start, m, far in blocks[i:]:
             apart = float(_gaps(top[cell][None, :], top[other][None, :])[0, 0]) if other != cell else 0.0
             if apart <= radius + far + reach + SLACK:
-                partners += [(x, y, x * first + y) for x in range(at, at + n) for y in range(start, start + m) if x <= y]
+                partners.append((at, at + n - 1, start, start + m - 1))
     depth = 1
     while 0.5 ** (depth - 1) > reach / 8:
         depth += 1
     plan = spark.createDataFrame(blocks, "cell long, first long, n long, radius double").select("cell", "first", "n")
-    sides = spark.createDataFrame(
-        [(x, p, 0) for x, _, p in partners] + [(y, p, 1) for x, y, p in partners if x != y], "block long, pair long, side int"
+    near = (
+        spark.createDataFrame(partners, "x0 long, x1 long, y0 long, y1 long")
+        .select(F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1")
+        .repartition("x")
+        .select("x", F.explode(F.sequence("y0", "y1")).alias("y"))
+        .where("x <= y")
+        .withColumn("pair", F.col("x") * F.lit(first).cast("long") + F.col("y"))
+    )
+    sides = near.select(F.col("x").alias("block"), "pair", F.lit(0).alias("side")).union(
+        near.where("x <> y").select("y", "pair", F.lit(1))
     )
     blocked = dealt.join(F.broadcast(plan), "cell").select(
         "id", "weight", "unit", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).alias("block")
@@ -326,6 +335,10 @@ def near_duplicates(vectors: DataFrame, cosine: float) -> DataFrame:
                 tree = Tree(x[order], path)
             parts.append((ids[order], own.column("weight").to_numpy()[order], tree))
         (ids, weight, a), (ids_b, weight_b, b) = parts
+        x, y = divmod(table.column("pair")[0].as_py(), first)
+        if a is None or (x != y and b is None):  # the other block got no vector
+            none = pa.array([], pa.int64())
+            return pa.table({"id": none, "links": none, "root": none})
         n_a, n_b, sets = links(a, b, weight, weight_b, cosine)
         every = np.concatenate([ids, ids_b]) if len(ids_b) else ids
         roots = every[[sets.find(i) for i in range(len(every))]]

@@ -402,6 +402,24 @@ def test_cover_tree(spark, sf, monkeypatch, block):
     assert cover.near_duplicates(frame.limit(0), 0.9).count() == 0
 
 
+def test_cover_tree_lists_no_block_pairs_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(cover, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(cover, "MAX_CELLS", 4)
+    sent, create = [], type(spark).createDataFrame
+    x = np.random.default_rng(4).standard_normal((60, 8)) + 1.5
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def recorded(self, data, *args, **named):
+        sent.append(len(data))
+        return create(self, data, *args, **named)
+
+    monkeypatch.setattr(type(spark), "createDataFrame", recorded)
+    got = {r["id"]: r["n_links"] for r in cover.near_duplicates(frame, 0.9).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert got == dict(enumerate(((x @ x.T >= 0.9).sum(1) - 1).tolist()))
+    assert max(sent) <= 4 * 5 // 2
+
+
 # Repeats ------------------------------------------------------------------
 @pytest.mark.parametrize("max_group", [50_000, 2])
 def test_suffix_dedup(docs, monkeypatch, max_group):
