@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {
     "op4_suffix_dedup": oracles.SUFFIXES,
     "op5_jaccard_join": oracles.JACCARD,
     "op7_fm_index_dedup": oracles.WINDOWS,
+    "op13_fill_middle": oracles.FILL_MIDDLE,
 }
 
 
@@ -131,3 +132,11 @@ def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fm_index import digest, removed
 
     return digest(removed(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35))
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its middle moved to the end, and the text rebuilt from it."""
+    from .fill_middle import digest, transformed
+
+    return digest(transformed(table(spark, sf_dir, "documents").select("doc_id", "text")))
