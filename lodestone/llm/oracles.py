@@ -149,3 +149,46 @@ SELECT doc_id, n::BIGINT AS n, form,
        sha256(t) AS restored_sha256
 FROM parts
 """
+
+QUARTILES = r"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first(coalesce(text, '')) OVER (ORDER BY doc_id)) AS f
+  FROM documents),
+texts AS (
+  SELECT doc_id, 0 AS k, t FROM ordered
+  UNION ALL
+  SELECT doc_id, 1, t[1:length(t) - length(t) // 2] || f[1:length(t) // 2] FROM ordered),
+bytes AS (SELECT doc_id, k, hex(encode(t)) AS h FROM texts),
+numbers AS (
+  SELECT doc_id, k, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS u FROM bytes),
+triplets AS (
+  SELECT doc_id, k, z[1] + 256 * z[2] + 65536 * z[3] AS v
+  FROM (SELECT doc_id, k, unnest(list_zip(u, u[2:], u[3:])) AS z FROM numbers) WHERE z[3] IS NOT NULL),
+filled AS (
+  SELECT doc_id, k, ((v * 2654435761) % 4294967296) // 8388608 AS b, count(*) AS n FROM triplets GROUP BY ALL),
+counts AS (
+  SELECT doc_id, k, b, coalesce(n, 0) AS n
+  FROM (SELECT doc_id, k, unnest(range(512)) AS b FROM bytes) LEFT JOIN filled USING (doc_id, k, b)),
+ranked AS (SELECT doc_id, k, list(n ORDER BY b) AS c, list(n ORDER BY n) AS o FROM counts GROUP BY ALL),
+coded AS MATERIALIZED (
+  SELECT r.doc_id, r.k, length(h) // 2 AS size,
+         list_transform(c, lambda x: (x > o[128])::INT + (x > o[256])::INT + (x > o[384])::INT) AS c
+  FROM ranked r JOIN bytes USING (doc_id, k)),
+digests AS MATERIALIZED (
+  SELECT doc_id, k, c, CASE WHEN size = 0 THEN 0 ELSE 8 * length(bin(size)) + (size * 8 >> (length(bin(size)) - 1)) % 8 END AS l
+  FROM coded),
+shown AS (
+  SELECT doc_id, k, printf('%04x', l) || array_to_string(list_transform(range(256),
+         lambda i: '0123456789abcdef'[4 * c[2 * i + 1] + c[2 * i + 2] + 1]), '') AS p FROM digests),
+sides AS (
+  SELECT o.doc_id, length(o.t) AS n_chars, a.c AS ac, a.l AS al, b.c AS bc, b.l AS bl,
+         coalesce(lead(a.c) OVER w, first(a.c) OVER w) AS nc, coalesce(lead(a.l) OVER w, first(a.l) OVER w) AS nl
+  FROM ordered o JOIN digests a ON a.doc_id = o.doc_id AND a.k = 0 JOIN digests b ON b.doc_id = o.doc_id AND b.k = 1
+  WINDOW w AS (ORDER BY o.doc_id))
+SELECT s.doc_id, n_chars, sha256(x.t) AS edited_sha256, p.p AS fingerprint, q.p AS edited_fingerprint,
+       1 - least(768, list_sum(list_transform(list_zip(ac, bc), lambda z: abs(z[1] - z[2]))) + 30 * abs(al - bl))::DOUBLE / 768 AS near_edited,
+       1 - least(768, list_sum(list_transform(list_zip(ac, nc), lambda z: abs(z[1] - z[2]))) + 30 * abs(al - nl))::DOUBLE / 768 AS near_next
+FROM sides s JOIN texts x ON x.doc_id = s.doc_id AND x.k = 1
+JOIN shown p ON p.doc_id = s.doc_id AND p.k = 0 JOIN shown q ON q.doc_id = s.doc_id AND q.k = 1
+"""

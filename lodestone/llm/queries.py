@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {
     "op4_suffix_dedup": oracles.SUFFIXES,
     "op5_jaccard_join": oracles.JACCARD,
     "op7_fm_index_dedup": oracles.WINDOWS,
+    "op11_quartile_digest": oracles.QUARTILES,
     "op13_fill_middle": oracles.FILL_MIDDLE,
 }
 
@@ -134,6 +135,14 @@ def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(removed(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35))
 
 
+@query
+def op11_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited one, and their likeness."""
+    from .quartiles import beside_next
+
+    return beside_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its middle moved to the end, and the text rebuilt from it."""
