@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {
     "op5_jaccard_join": oracles.JACCARD,
     "op7_fm_index_dedup": oracles.WINDOWS,
     "op11_quartile_digest": oracles.QUARTILES,
+    "op12_segment_negatives": oracles.NEGATIVES,
     "op13_fill_middle": oracles.FILL_MIDDLE,
 }
 
@@ -143,6 +144,18 @@ def op11_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beside_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op12_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; some labels are shifted first."""
+    from .segments import hard_negatives
+
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), shifted.alias("label"), F.col("embedding").alias("vector")
+    )
+    return hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 @query
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its middle moved to the end, and the text rebuilt from it."""
