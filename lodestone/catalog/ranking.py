@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import evalsets, fusion, metrics
 from ..plans import experiment as E
 from . import sql as S
-from .base import SIZE, chunks, documents, hold, query, questions, rounded
+from .base import SIZE, chunks, documents, hold, mixed_chunks, query, questions, rounded
 
 BASE = (S.DOCS, S.QUESTIONS, S.sentence_chunks("docs", SIZE), S.TERMS, S.bm25(), S.dense())
 HITS = "query_id, position, rank, round(score, 6) AS score"
@@ -54,6 +54,48 @@ def rrf(spark, sf_dir):
     return _hits(retriever.search(asked, 10, "rrf"))
 
 
+MIXED = (
+    "docs AS (SELECT doc_id, text FROM documents)",
+    "turns AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS doc_id, conv_id, turn, text FROM conversations)",
+    S.QUESTIONS,
+    S.sentence_chunks("docs", SIZE, "doc_chunks"),
+    S.sentence_chunks("turns", SIZE, "turn_chunks"),
+    """chunks AS MATERIALIZED (
+      SELECT 'documents' AS kind, doc_id AS major, NULL::BIGINT AS minor, chunk_index, text, row_number() OVER (ORDER BY position) AS position
+      FROM doc_chunks
+      UNION ALL
+      SELECT 'conversations', conv_id, turn, chunk_index, c.text,
+             (SELECT count(*) FROM doc_chunks) + row_number() OVER (ORDER BY position)
+      FROM turn_chunks c JOIN turns USING (doc_id))""",
+    S.TERMS, S.bm25(), S.dense(), S.rrf(),
+)
+
+
+@query(
+    S.with_(*MIXED)
+    + " UNION ALL ".join(
+        f"""SELECT '{method}' AS method, query_id, rank, kind, major, minor, chunk_index, round(score, 6) AS score
+        FROM {method} JOIN chunks USING (position) WHERE rank <= 10"""
+        for method in ("bm25", "rrf")
+    )
+)
+def mixed_search(spark, sf_dir):
+    """One index over documents and conversation turns, asked both ways."""
+    retriever = fusion.HybridRetriever(hold(mixed_chunks(spark, sf_dir)), keep=hold)
+    asked = hold(questions(spark, sf_dir))
+    order = F.col("position.doc_order")
+    found = union(
+        retriever.search(asked, 10, method).withColumn("method", F.lit(name))
+        for name, method in (("bm25", "sparse"), ("rrf", "rrf"))
+    ).select(
+        "method", "query_id", "rank",
+        F.when(F.col("position.source") == "0" * 8, "documents").otherwise("conversations").alias("kind"),
+        F.get(order, F.lit(0)).alias("major"), F.get(order, F.lit(1)).alias("minor"),
+        "position.chunk_index", "score",
+    )
+    return rounded(found, "score")
+
+
 @query(
     S.with_(
         *BASE,

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import dense, lexical
 from ..operators.ann import IVFIndex, NSWIndex, recall_curve
 from ..operators.containment import containing
 from ..operators.evalsets import vocabulary_overlap
+from ..operators.postings import StoredBM25
 from ..plans import experiment as E
+from ..session import use_checkpoints
 from ..sources import tables
 from . import sql as S
 from .base import SIZE, chunks, documents, hold, query, questions, rounded
@@ -59,6 +63,28 @@ def bm25_topk(spark, sf_dir):
     return _hits(lexical.BM25(chunks(spark, sf_dir)).search(questions(spark, sf_dir), 10))
 
 
+def _stored(spark, sf_dir):
+    """The index of the sentence chunks, laid out in the shared folder."""
+    path = f"{use_checkpoints(spark)}/bm25-{uuid.uuid4().hex}"
+    return StoredBM25.write(lexical.BM25(chunks(spark, sf_dir)), path)
+
+
+@query(S.with_(*BASE, S.TERMS, S.bm25()) + f"SELECT {HITS} FROM bm25 WHERE rank <= 10")
+def bm25_stored_topk(spark, sf_dir):
+    """The same ranking from stored postings, most of whose blocks are skipped."""
+    return _hits(_stored(spark, sf_dir).search(questions(spark, sf_dir), 10))
+
+
+@query(
+    S.with_(*BASE, S.TERMS)
+    + "SELECT query_id, CAST(sum(df) AS BIGINT) AS postings, true AS fewer_read FROM (SELECT DISTINCT query_id, term FROM qt) JOIN df USING (term) GROUP BY query_id"
+)
+def bm25_stored_work(spark, sf_dir):
+    """Postings of each query's terms, and whether a search for its best chunk reads fewer."""
+    work = _stored(spark, sf_dir).work(questions(spark, sf_dir), 1)
+    return work.select("query_id", "postings", (F.col("read") < F.col("postings")).alias("fewer_read"))
+
+
 @query(
     S.with_(*BASE, S.TERMS, S.bm25(b=0.25), S.budgeted("bm25", 900)) + f"SELECT {HITS} FROM packed"
 )

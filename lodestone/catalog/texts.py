@@ -14,7 +14,7 @@ from ..operators import chunking as C
 from ..operators import citations, evalsets, structured
 from ..sources import tables
 from . import sql as S
-from .base import documents, hold, query, rounded
+from .base import documents, hold, mixed_chunks, query, rounded
 
 SPAN = "doc_id, chunk_index, s AS begin_at, e AS end_at, text"
 
@@ -347,18 +347,7 @@ def metadata_select(spark, sf_dir):
 )
 def mixed_sources(spark, sf_dir):
     """One index over documents and conversation turns, and its length spread."""
-    turns = tables.spread(tables.table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    key = F.when(F.col("turn").between(0, 4095), F.col("conv_id") * 4096 + F.col("turn")).otherwise(
-        F.raise_error(F.lit("a conversation has more turns than a document order can number"))
-    )
-    turns = turns.select(
-        key.alias("doc_id"), key.alias("doc_order"), "text",
-        F.create_map(F.lit("kind"), F.lit("conversations")).alias("metadata"),
-    )
-    docs = documents(spark, sf_dir).withColumn(
-        "metadata", F.create_map(F.lit("kind"), F.lit("documents"))
-    )
-    mixed = C.union_chunks(C.build_index(docs, 200), C.build_index(turns, 200))
+    mixed = mixed_chunks(spark, sf_dir, 200)
     n = F.length("text")
     table = mixed.rollup(F.col("metadata").getItem("kind").alias("kind")).agg(
         F.count(F.lit(1)).alias("chunks"), (F.stddev_pop(n) / F.avg(n)).alias("cv")

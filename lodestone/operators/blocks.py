@@ -88,8 +88,8 @@ class _Selection:
     def _trim(self) -> None:
         query = self.rows.column("_query").to_numpy()
         score = np.round(self.rows.column("score").to_numpy(), DECIMALS)
-        places = [_sortable(self.rows.column(name)) for name in reversed(self.order)]
-        order = np.lexsort((*places, -score, query))
+        places = [part for name in self.order for part in _sortable(self.rows.column(name))]
+        order = np.lexsort((*reversed(places), -score, query))
         query, score = query[order], score[order]
         starts = np.r_[0, np.flatnonzero(np.diff(query)) + 1]
         counts = np.diff(np.r_[starts, len(query)])
@@ -114,11 +114,24 @@ class _Selection:
         return table.select(schema.names).cast(schema)
 
 
-def _sortable(column) -> np.ndarray:
-    values = column.to_numpy()
+def _sortable(column) -> list[np.ndarray]:
+    """Arrays that sort, one after another, like a column of numbers, texts, lists
+    of integers or structs of these."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    if pa.types.is_struct(column.type):
+        return [part for field in column.flatten() for part in _sortable(field)]
+    if pa.types.is_list(column.type):
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+        rows, values = np.repeat(np.arange(len(lengths)), lengths), column.flatten()
+        table = np.full((len(lengths), max(lengths.max(initial=0), 1)), np.iinfo(np.int64).min)
+        inside = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        table[rows, inside] = values.to_numpy(zero_copy_only=False)
+        return [*table.T, lengths]
+    values = column.to_numpy(zero_copy_only=False)
     if values.dtype != object:
-        return values
-    return np.unique(values.astype(str), return_inverse=True)[1]
+        return [values]
+    return [np.unique(values.astype(str), return_inverse=True)[1]]
 
 
 def _plain(table: pa.Table) -> pa.Table:

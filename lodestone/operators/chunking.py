@@ -1,8 +1,9 @@
 """Chunkers: one document row becomes many chunk rows, without a shuffle.
 
-Documents need ``doc_id``, ``doc_order`` (build order), ``text`` and
-``metadata``. Chunk rows carry ``position``, an integer that sorts chunks in
-build order: ``doc_order * 2**24 + chunk_index``.
+Documents need ``doc_id``, ``doc_order`` (build order: an integer or an array of
+them), ``text`` and ``metadata``. Chunk rows carry ``position``, a struct that sorts
+chunks in build order: ``(source, doc_order, chunk_index)``. Nothing is packed into
+a number, so no order, index or number of sources is out of range.
 """
 
 from __future__ import annotations
@@ -10,16 +11,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as TT
 
 from ..functions import text as T
 from ..functions import unicode as U
 
 STRATEGIES = ("fixed", "sentence")
-POSITION_SHIFT = 24
-#: Above the document order: the number of the source in a union.
-SOURCE_SHIFT, MAX_SOURCES = 59, 16
+#: ``source`` is empty for an index of its own; every union puts the number of a
+#: source, as so many digits, in front of it.
+SOURCE_DIGITS = 8
 CHUNK_COLUMNS = ["doc_id", "chunk_index", "position", "text", "start", "end", "metadata"]
 
 # Words that end in a period without ending a sentence.
@@ -270,6 +271,7 @@ def chunk_documents(
         chunked = with_sentence_chunks(source, "_norm", "_chunks", size)
     # The outer form plus a filter: with plain inline the optimizer infers a size
     # filter and computes the chunks twice.
+    parts = isinstance(documents.schema["doc_order"].dataType, TT.ArrayType)
     rows = chunked.select(
         "doc_id", "doc_order", "metadata", "_map", F.inline_outer("_chunks")
     ).where(F.col("chunk_index").isNotNull())
@@ -287,7 +289,7 @@ def chunk_documents(
     return rows.select(
         "doc_id",
         "chunk_index",
-        order_key(F.col("doc_order"), F.col("chunk_index")).alias("position"),
+        placed(F.col("doc_order"), F.col("chunk_index"), parts).alias("position"),
         "text",
         raw(F.col("start")).alias("start"),
         raw(F.col("end")).alias("end"),
@@ -295,25 +297,12 @@ def chunk_documents(
     )
 
 
-def order_key(doc_order: Column, chunk_index: Column) -> Column:
-    """Integer that sorts like (document order, chunk index).
-
-    An order or an index that the integer cannot hold fails the job: two chunks
-    never get the same position. Documents with ids outside the range need a
-    ``doc_order`` of their own.
-    """
-    order = doc_order.cast("bigint")
-    key = F.shiftleft(order, POSITION_SHIFT) + chunk_index
-    return (
-        F.when(
-            (order < 0) | (order >= 1 << (SOURCE_SHIFT - POSITION_SHIFT)),
-            F.raise_error(F.lit("a document order lies outside what a position can number")),
-        )
-        .when(
-            chunk_index >= 1 << POSITION_SHIFT,
-            F.raise_error(F.lit("a document has more chunks than a position can number")),
-        )
-        .otherwise(key)
+def placed(doc_order: Column, chunk_index: Column, parts: bool = False) -> Column:
+    """Position of a chunk in an index of its own; ``parts`` tells an order that is an
+    array from one that is an integer."""
+    order = doc_order.cast("array<bigint>") if parts else F.array(doc_order.cast("bigint"))
+    return F.struct(
+        F.lit("").alias("source"), order.alias("doc_order"), chunk_index.cast("int").alias("chunk_index")
     )
 
 
@@ -322,30 +311,55 @@ def build_index(documents: DataFrame, size: int, strategy: str = "sentence") ->
     return chunk_documents(documents, size=size, strategy=strategy)
 
 
-def with_ordinals(rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``rows`` with ``ordinal``: the 0-based place, in build order, of the chunk
-    their ``position`` names.
+def document_key(position: Column) -> Column:
+    """Text that sorts like the documents of positions: the source, then each part
+    of the order as 16 hexadecimal digits with the sign turned round."""
+    signless = F.transform(
+        position["doc_order"],
+        lambda part: F.lpad(F.hex(part.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"),
+    )
+    return F.concat(position["source"], F.array_join(signless, ""))
 
-    A running count over everything would run in one task. Documents are
-    counted first; counts are summed per range of documents, the running sum
-    over those few ranges gives each range its offset, and the rest is local
-    to a range. Only documents named by ``rows`` meet them.
-    """
-    low = (1 << POSITION_SHIFT) - 1
-    doc = F.shiftright(F.col("position"), POSITION_SHIFT)
-    per_doc = chunks.groupBy(doc.alias("_doc")).agg(F.count(F.lit(1)).alias("_n"))
-    per_doc = per_doc.withColumn("_range", F.shiftright("_doc", 16))
-    ranges = per_doc.groupBy("_range").agg(F.sum("_n").alias("_total"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("_range").orderBy("_doc").rowsBetween(W.unboundedPreceding, -1)
-    firsts = per_doc.join(ranges, "_range").select(
-        "_doc",
-        (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_first"),
+
+#: Characters of a document key that one level of the counts tells apart.
+KEY_STEP = 2
+
+
+def _steps(key: Column) -> Column:
+    """The prefixes of a key as ``(parent, digit)``, one per level."""
+    return F.transform(
+        F.sequence(F.lit(0), (F.length(key) / KEY_STEP).cast("int") - 1),
+        lambda level: F.struct(
+            F.substring(key, F.lit(1), (level * KEY_STEP).cast("int")).alias("parent"),
+            F.substring(key, (level * KEY_STEP + 1).cast("int"), F.lit(KEY_STEP)).alias("digit"),
+        ),
     )
-    place = F.col("_first") + F.col("position").bitwiseAND(low)
-    return rows.withColumn("_doc", doc).join(firsts, "_doc").withColumn("ordinal", place).drop(
-        "_doc", "_first"
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """``(parent, digit, n)``: chunks of the documents whose key begins so.
+
+    A tree of counts over the keys: what comes before a document is the sum over
+    the smaller siblings on its way down, at most 256 a level. Each task adds its
+    own chunks up first.
+    """
+    per_doc = chunks.groupBy(document_key(F.col("position")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    levels = per_doc.select(F.explode(_steps(F.col("key"))).alias("step"), "n")
+    return levels.groupBy("step.parent", "step.digit").agg(F.sum("n").alias("n"))
+
+
+def with_ordinals(rows: DataFrame, chunks: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``ordinal``: the 0-based place, in build order, of the chunk
+    their ``position`` names. ``counts`` may hold stored ``chunk_counts``."""
+    counts = chunk_counts(chunks) if counts is None else counts
+    wanted = rows.select(document_key(F.col("position")).alias("key")).distinct()
+    ways = wanted.select("key", F.explode(_steps(F.col("key"))).alias("step"))
+    smaller = (F.col("digit") < F.col("step.digit")) & (F.col("parent") == F.col("step.parent"))
+    firsts = ways.join(counts, smaller).groupBy("key").agg(F.sum("n").alias("_first"))
+    keyed = rows.withColumn("_key", document_key(F.col("position")))
+    place = F.coalesce("_first", F.lit(0)) + F.col("position.chunk_index")
+    return keyed.join(firsts.withColumnRenamed("key", "_key"), "_key", "left").withColumn("ordinal", place).drop(
+        "_key", "_first"
     )
 
 
@@ -369,19 +383,16 @@ def select(chunks: DataFrame, **filters) -> DataFrame:
 def union_chunks(*sources: DataFrame) -> DataFrame:
     """Chunks of several sources in one index, numbered source after source.
 
-    Positions of a source are shifted by its number, so chunks of two sources
-    stay apart whatever their documents are called. A union is not a source.
+    The number goes in front of a position's source, so chunks of two sources stay
+    apart whatever their documents are called, and a union may be a source itself.
     """
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"at most {MAX_SOURCES} sources fit one index, got {len(sources)}")
 
-    def placed(frame: DataFrame, number: int) -> DataFrame:
-        position = F.when(
-            F.col("position") < 1 << SOURCE_SHIFT, F.col("position") + (number << SOURCE_SHIFT)
-        ).otherwise(F.raise_error(F.lit("a source's position is already that of a union")))
+    def numbered(frame: DataFrame, number: int) -> DataFrame:
+        source = F.concat(F.lit(f"{number:0{SOURCE_DIGITS}x}"), F.col("position.source"))
+        position = F.col("position").withField("source", source)
         return frame.select(*CHUNK_COLUMNS).withColumn("position", position)
 
-    return reduce(lambda a, b: a.unionByName(b), [placed(s, i) for i, s in enumerate(sources)])
+    return reduce(lambda a, b: a.unionByName(b), [numbered(s, i) for i, s in enumerate(sources)])
 
 
 # --- measurements ----------------------------------------------------------

@@ -53,20 +53,29 @@ def score_fusion(
 
 
 def reciprocal_rank_fusion(
-    rankings, k: int = 5, constant: int = 60, item: str = "position", tie: str | None = None
+    rankings, k: int = 5, constant: int = 60, item: str = "position", ordinals=None
 ) -> DataFrame:
-    """Sum of ``1 / (constant + rank)``; ties go by ``tie`` read as text."""
+    """Sum of ``1 / (constant + rank)``; ties go by the item read as text.
+
+    ``ordinals`` gives rows an ``ordinal`` that is read instead. Only rows whose
+    score another row of the query shares are asked for one.
+    """
     if constant < 0:
         raise ValueError(f"constant must not be negative, got {constant}")
-    tie = tie or item
-    columns = list(dict.fromkeys(["query_id", item, tie, "rank"]))
-    union = reduce(lambda a, b: a.unionByName(b), [r.select(*columns) for r in rankings])
+    union = reduce(lambda a, b: a.unionByName(b), [r.select("query_id", item, "rank") for r in rankings])
     combined = union.groupBy("query_id", item).agg(
-        F.sum(1.0 / (F.lit(constant) + F.col("rank"))).alias("score"),
-        F.min(F.col(tie).cast("string")).alias("_tie"),
+        F.sum(1.0 / (F.lit(constant) + F.col("rank"))).alias("score")
     )
-    order = [F.round("score", 15).desc(), F.col("_tie")]
-    return top_k(combined, ["query_id"], order, k).drop("_tie")
+    equal = F.round("score", 15)
+    if ordinals is None:
+        combined = combined.withColumn("_tie", F.col(item).cast("string"))
+    else:
+        same = W.partitionBy("query_id", equal)
+        combined = combined.withColumn("_tied", F.count(F.lit(1)).over(same) > 1)
+        tied = ordinals(combined.where("_tied").select(item).distinct())
+        tied = tied.select(F.col(item).alias("_item"), F.col("ordinal").cast("string").alias("_tie"))
+        combined = combined.join(tied, F.col(item) == F.col("_item"), "left").drop("_item", "_tied")
+    return top_k(combined, ["query_id"], [equal.desc(), F.col("_tie")], k).drop("_tie")
 
 
 class HybridRetriever:
@@ -110,9 +119,9 @@ class HybridRetriever:
             fused = score_fusion(sparse, dense, alpha, k)
         else:
             # Ties follow the digits of a chunk's ordinal in the whole index.
-            tagged = [half.withColumn("_half", F.lit(i)) for i, half in enumerate((sparse, dense))]
-            both = with_ordinals(tagged[0].unionByName(tagged[1]), self.chunks)
-            fused = reciprocal_rank_fusion([both], k, constant, tie="ordinal")
+            fused = reciprocal_rank_fusion(
+                (sparse, dense), k, constant, ordinals=lambda rows: with_ordinals(rows, self.chunks)
+            )
         texts = (
             sparse.select("query_id", "position", "text")
             .unionByName(dense.select("query_id", "position", "text"))

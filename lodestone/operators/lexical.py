@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import text as T
 from .blocks import Keep, select_best
 
@@ -97,6 +98,31 @@ def _scored_items(chunks: DataFrame, tokenizer) -> DataFrame:
     )
 
 
+def _counted(tokens: Column) -> Column:
+    """Distinct terms of a list with how often it holds them."""
+
+    def runs(ordered: Column) -> Column:
+        begins = F.filter(
+            F.transform(ordered, lambda t, i: F.when(~t.eqNullSafe(F.get(ordered, i - 1)), i)),
+            lambda i: i.isNotNull(),
+        )
+        return F.get(
+            F.transform(
+                F.array(begins),
+                lambda at: F.transform(
+                    at,
+                    lambda p, j: F.struct(
+                        F.get(ordered, p).alias("term"),
+                        (F.coalesce(F.get(at, j + 1), F.size(ordered)) - p).cast("long").alias("tf"),
+                    ),
+                ),
+            ),
+            F.lit(0),
+        )
+
+    return F.get(F.transform(F.array(F.sort_array(tokens)), runs), F.lit(0))
+
+
 def _term_bytes() -> Column:
     return F.aggregate(
         "terms", F.lit(64), lambda total, part: total + F.octet_length(part["term"]) + 32
@@ -162,26 +188,28 @@ class BM25:
         self.k1, self.b, self.tokenizer = k1, b, tokenizer
         self.items = _scored_items(chunks, tokenizer)
 
-    def postings(self) -> DataFrame:
-        """``(term, position, tf)``. A chunk is one row, whose equal terms are
-        counted inside it: nothing is shuffled."""
-        counted = F.transform(
-            F.array_distinct("tokens"),
-            lambda t: F.struct(
-                t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).cast("long").alias("tf")
-            ),
+    def postings(self, *more: str) -> DataFrame:
+        """``(term, position, tf)``, with ``dl``, the length of the chunk, if asked for.
+
+        A chunk is one row, whose terms are sorted and counted inside it: nothing is
+        shuffled, and the cost is that of sorting."""
+        pairs = self.items.select(
+            "position", F.size("tokens").alias("dl"), F.inline(_counted(F.col("tokens")))
         )
-        pairs = self.items.select("position", F.explode(counted).alias("p"))
-        return pairs.select("p.term", "position", "p.tf")
+        return pairs.select("term", "position", "tf", *more)
 
     def doc_stats(self) -> DataFrame:
         return self.items.select("position", F.size("tokens").alias("dl"))
 
-    def term_stats(self) -> DataFrame:
+    def term_stats(self, wanted: DataFrame | None = None) -> DataFrame:
         """``(term, df, dl)``; the row for EVERYTHING holds the number of chunks
-        and their summed length. Each task adds up its own terms first."""
+        and their summed length. Each task adds up its own terms first. With
+        ``wanted`` only its terms are counted; if they are few, they are sent to the
+        chunks, and no other term leaves its task."""
         words = F.array_append(F.array_distinct("tokens"), F.lit(EVERYTHING))
         rows = self.items.select(F.explode(words).alias("term"), F.size("tokens").alias("dl"))
+        if wanted is not None and session.fits_broadcast(wanted, F.octet_length("term") + 32):
+            rows = rows.join(F.broadcast(wanted), "term", "left_semi")
         total = F.sum(F.when(F.col("term") == EVERYTHING, F.col("dl")))
         return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), total.alias("dl"))
 
@@ -204,7 +232,7 @@ class BM25:
             .groupBy("query_id", "term")
             .agg(F.count(F.lit(1)).alias("uses"))
         )
-        joined = uses.join(self.term_stats(), "term", "left")
+        joined = uses.join(self.term_stats(uses.select("term").distinct()), "term", "left")
         part = F.struct(
             "term", "uses", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("dl", F.lit(0)).alias("dl")
         )

@@ -233,10 +233,12 @@ def text_documents(spark: SparkSession, *texts: str) -> DataFrame:
 
 def text_chunks(spark: SparkSession, *texts: str) -> DataFrame:
     """One-off chunks that are whole texts."""
-    rows = [("d", i, i, text, 0, len(text), {}) for i, text in enumerate(texts)]
+    rows = [("d", i, ("", [0], i), text, 0, len(text), {}) for i, text in enumerate(texts)]
     return spark.createDataFrame(
         rows,
-        "doc_id string, chunk_index int, position bigint, text string, start int, `end` int, "
+        "doc_id string, chunk_index int, "
+        "position struct<source:string,doc_order:array<bigint>,chunk_index:int>, "
+        "text string, start int, `end` int, "
         "metadata map<string,string>",
     )
 
