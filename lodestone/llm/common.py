@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Tables up to this size may be sent to all tasks.
+BROADCAST_BYTES = 64 << 20
+_written: list[str] = []
 # Words of the contracts: runs of anything but these six characters. Java looks
 # single Latin characters up in a bit table, but tests ranges one by one.
 WHITE = r"[ \t\n\x0B\f\r]++"
@@ -44,10 +48,43 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = new_path(spark, name)
+    _written.append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """Paths of the tables that ``saved`` writes meanwhile.
+
+    Once all that is made of them is written too, they can be deleted.
+    """
+    begin, paths = len(_written), []
+    try:
+        yield paths
+    finally:
+        paths += _written[begin:]
+        del _written[begin:]
+
+
+def delete_all(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        delete(spark, path)
+
+
+def sent_if_small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """``table``, which must be cheap to count, marked to be sent to all tasks where its
+    rows fit the bound, else to be shuffled."""
+    small = table.count() * row_bytes <= BROADCAST_BYTES
+    return F.broadcast(table) if small else table.hint("shuffle_hash")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times, inside lambdas too."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

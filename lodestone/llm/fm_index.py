@@ -15,9 +15,10 @@ An anchor with more than MAX_GROUP occurrences goes another way: its windows are
 counted one by one, aggregated per task before the shuffle.
 
 Defined cases: null, empty and short texts lose nothing; repeated rows repeat each
-other and lose all their windows, whatever their doc_id; a row with a null doc_id
-keeps its text and is not searched; an empty table gives no rows; other columns are
-kept by ``removed`` and not read.
+other and lose all their windows, whatever their doc_id; texts that share a doc_id
+are one document each; a row with a null doc_id keeps its text and is not searched;
+very long texts are cut into their words as a whole, in one task; an empty table
+gives no rows; other columns travel in ``rest``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import anchors, binary_rows, repeated_anchors, row_hashes, runs_of
-from .common import saved
+from .anchors import anchors, binary_rows, cut_out, keyed, repeated_anchors, row_hashes, runs_of
+from .common import saved, sent_if_small
 from .shingles import hashes_of, words_of
 from .suffixes import merged
 
 #: Words of an anchor, occurrences of one in a shard, surroundings of one index.
 ANCHOR, MAX_GROUP, INDEXED = 8, 50_000, 20_000
 #: Bytes by which a word is told from others.
-WORD_BYTES = 5
+WORD_BYTES = 8
 
 
 class WaveletMatrix:
@@ -125,14 +126,13 @@ class FMIndex:
         return at
 
 
-def repeated_spans(rows: np.ndarray, left: np.ndarray, right: np.ndarray, search: np.ndarray, length: int):
-    """First and last column (end) of repeated windows around the anchor of some rows.
+def first_repeats(rows: np.ndarray, left: np.ndarray, right: np.ndarray, search: np.ndarray, length: int):
+    """First column of the first repeated window around the anchor of some rows, or -1.
 
     The anchor takes the columns from ``length - ANCHOR``; every window holds it.
     """
     at = length - ANCHOR
     first = np.full(len(search), -1, np.int64)
-    last = np.full(len(search), -1, np.int64)
     index = FMIndex(rows)
     least, most = at - left[search], at + right[search]
     # No repeated window begins left of where the passage up to the anchor's end repeats.
@@ -147,19 +147,26 @@ def repeated_spans(rows: np.ndarray, left: np.ndarray, right: np.ndarray, search
         # A window that begins at or left of ``reached - 1`` does not occur twice here.
         start[open_rows] = np.maximum(reached[~done], start[open_rows] + 1)
         open_rows = open_rows[(start[open_rows] <= at) & (start[open_rows] + length <= most[open_rows])]
-    end = most.copy()
-    open_rows = np.flatnonzero(first >= 0)
-    while len(open_rows):
-        stop = end[open_rows]
-        done = index.leftmost(rows, search[open_rows], stop, stop - length) == stop - length
-        last[open_rows[done]] = stop[done]
-        open_rows = open_rows[~done]
-        end[open_rows] -= 1
+    return first
+
+
+def repeated_spans(rows: np.ndarray, left: np.ndarray, right: np.ndarray, search: np.ndarray, length: int):
+    """First and last column (end) of repeated windows around the anchor of some rows.
+
+    The last one is the first of the rows read backwards, by an index of their own.
+    """
+    first = first_repeats(rows, left, right, search, length)
+    last = np.full(len(search), -1, np.int64)
+    found = first >= 0
+    if found.any():
+        # Symbols have to ascend with the columns there, too.
+        turned = np.where(rows > 0, rows.max() + 1 - rows, 0)[:, ::-1]
+        last[found] = rows.shape[1] - first_repeats(turned, right - ANCHOR, left + ANCHOR, search[found], length)
     return first, last
 
 
-def spans(gram, doc_id, place, left, right, rows: np.ndarray, length: int):
-    """``doc_id, start, end`` in words of what repeats, from whole groups of anchors."""
+def spans(gram, doc_id, own, place, left, right, rows: np.ndarray, length: int):
+    """``doc_id, own, start, end`` in words of what repeats, from whole groups of anchors."""
     at = length - ANCHOR
     width = rows.shape[1] // WORD_BYTES
     whole = np.concatenate([gram.view(np.uint8).reshape(len(gram), 8), rows], 1)
@@ -181,9 +188,9 @@ def spans(gram, doc_id, place, left, right, rows: np.ndarray, length: int):
         real = (column >= at - left[one[several]][:, None]) & (column < at + right[one[several]][:, None])
         symbols = np.zeros(words.shape, np.int64)
         used = 0
-        own = group[several].astype(np.uint64)
+        block = group[several].astype(np.uint64)
         for j in range(width):
-            pair = np.stack([own, words[:, j]], 1)[real[:, j]]
+            pair = np.stack([block, words[:, j]], 1)[real[:, j]]
             if len(pair):
                 order = np.lexsort((pair[:, 1], pair[:, 0]))
                 new = np.r_[True, (pair[order][1:] != pair[order][:-1]).any(1)]
@@ -198,7 +205,7 @@ def spans(gram, doc_id, place, left, right, rows: np.ndarray, length: int):
             first[several[search]], last[several[search]] = a, b
     begin, end = first[member], last[member]
     found = (begin >= 0) & (end > 0)
-    return doc_id[found], place[found] - at + begin[found], place[found] - at + end[found]
+    return doc_id[found], own[found], place[found] - at + begin[found], place[found] - at + end[found]
 
 
 def _places(length: int):
@@ -221,7 +228,8 @@ def contexts(matched: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, few in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            sides = [batch.column(i).to_pylist() for i in (0, 1)]
+            for doc_id, own, text, few in zip(*sides, batch.column(2), batch.column(3)):
                 if not few.is_valid or not len(few):
                     continue
                 hashes = hashes_of(words_of(text.as_py()))
@@ -240,28 +248,29 @@ def contexts(matched: DataFrame, length: int) -> DataFrame:
                         [
                             pa.array(grams.view(np.int64)),
                             pa.array(np.full(len(some), doc_id, np.int64)),
+                            pa.array(np.full(len(some), own, np.int64)),
                             pa.array(some.astype(np.int32)),
                             pa.array(np.minimum(some, before).astype(np.int16)),
                             pa.array(np.minimum(len(hashes) - some, length).astype(np.int16)),
                             binary_rows(packed),
                         ],
-                        ["gram", "doc_id", "place", "left", "right", "bytes"],
+                        ["gram", "doc_id", "own", "place", "left", "right", "bytes"],
                     )
 
-    return matched.select("doc_id", "text", "few").mapInArrow(
-        cut, "gram long, doc_id long, place int, left short, right short, bytes binary"
+    return matched.select("doc_id", "own", "text", "few").mapInArrow(
+        cut, "gram long, doc_id long, own long, place int, left short, right short, bytes binary"
     )
 
 
 def _sharded(around: DataFrame, length: int) -> DataFrame:
-    """``doc_id, start, end`` of repeated words, one index after another in a shard."""
-    names = ("gram", "doc_id", "place", "left", "right")
+    """``doc_id, own, start, end`` of repeated words, one index after another in a shard."""
+    names = ("gram", "doc_id", "own", "place", "left", "right")
     width = (2 * length - ANCHOR) * WORD_BYTES
 
     def solve(held) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held)] if held else []
-        found = spans(*columns, length) if held and len(columns[0]) else [np.empty(0, np.int64)] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["doc_id", "start", "end"])
+        found = spans(*columns, length) if held and len(columns[0]) else [np.empty(0, np.int64)] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["doc_id", "own", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -289,15 +298,16 @@ def _sharded(around: DataFrame, length: int) -> DataFrame:
         yield solve(held)
 
     ordered = around.repartition("gram").sortWithinPartitions("gram")
-    return ordered.mapInArrow(run, "doc_id long, start long, end long")
+    return ordered.mapInArrow(run, "doc_id long, own long, start long, end long")
 
 
 def _frequent(matched: DataFrame, length: int) -> DataFrame:
-    """``doc_id, start, end`` of repeated windows around very frequent anchors."""
+    """``doc_id, own, start, end`` of repeated windows around very frequent anchors."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, many in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            sides = [batch.column(i).to_pylist() for i in (0, 1)]
+            for doc_id, own, text, many in zip(*sides, batch.column(2), batch.column(3)):
                 if not many.is_valid or not len(many):
                     continue
                 hashes = hashes_of(words_of(text.as_py()))
@@ -310,32 +320,26 @@ def _frequent(matched: DataFrame, length: int) -> DataFrame:
                 for k in range(0, len(starts), INDEXED):
                     some = starts[k : k + INDEXED]
                     packed = _word_bytes(np.ascontiguousarray(view[some]).ravel()).reshape(len(some), -1)
+                    key = [pa.array(np.full(len(some), k, np.int64)) for k in (doc_id, own)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), doc_id, np.int64)), pa.array(some), binary_rows(packed)],
-                        ["doc_id", "start", "string"],
+                        [*key, pa.array(some), binary_rows(packed)], ["doc_id", "own", "start", "string"]
                     )
 
-    strings = matched.select("doc_id", "text", "many").mapInArrow(cut, "doc_id long, start long, string binary")
-    again = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    return strings.join(again, "string").select("doc_id", "start", (F.col("start") + length).alias("end"))
+    strings = matched.select("doc_id", "own", "text", "many").mapInArrow(
+        cut, "doc_id long, own long, start long, string binary"
+    )
+    again = saved(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "strings")
+    return strings.join(sent_if_small(again, length * WORD_BYTES + 64), "string").select("doc_id", "own", "start", (F.col("start") + length).alias("end"))
 
 
 def removed(docs: DataFrame, length: int, partitions: int | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, others kept) with ``starts`` and ``ends`` of removed words."""
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = saved(repeated_anchors(docs, _places(length), MAX_GROUP), "repeated-anchors")
-    dealt = docs.repartition(n, "doc_id")
-    matched = dealt.join(marks.hint("shuffle_hash"), "doc_id", "left")
-    found = _sharded(contexts(matched, length), length)
-    if not marks.where("size(many) > 0").isEmpty():
-        found = found.union(_frequent(matched, length))
-    runs = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
-    return (
-        dealt.join(runs.hint("shuffle_hash"), "doc_id", "left")
-        .withColumn("starts", F.col("_runs.start"))
-        .withColumn("ends", F.col("_runs.end"))
-        .drop("_runs")
+    """``doc_id, text, rest, starts, ends``: the removed words of every row of ``docs``;
+    ``rest`` holds the other columns."""
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed(docs)
+    marks = saved(repeated_anchors(rows, _places(length), MAX_GROUP), "repeated-anchors")
+    return cut_out(
+        rows, marks, n, lambda m: _sharded(contexts(m, length), length), lambda m: _frequent(m, length)
     )
 
 

@@ -16,9 +16,10 @@ counted one by one, with the first place of each string aggregated per task befo
 the shuffle, so no group has to fit a task.
 
 Defined cases: null and empty texts keep nothing and lose nothing; of equal texts
-the smallest doc_id stays; rows that share a doc_id are not earlier than each
-other at equal places; a row with a null doc_id keeps its text; an empty table
-gives no rows; other columns are kept by ``removed`` and not read.
+the smallest doc_id stays; texts that share a doc_id are one document each, but not
+earlier than each other at equal places; repeated rows keep the same; a row with a
+null doc_id keeps its text; very long texts are hashed in pieces; an empty table
+gives no rows; other columns travel in ``rest``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import anchors, binary_rows, repeated_anchors, row_hashes, runs_of
-from .common import saved
+from .anchors import anchors, binary_rows, cut_out, keyed, repeated_anchors, row_hashes, runs_of
+from .common import saved, sent_if_small
 
 #: Bytes of an anchor, bytes of a text hashed at once, rows of a group and of a sort.
 ANCHOR, PIECE, MAX_GROUP, SORTED = 32, 1 << 20, 50_000, 100_000
@@ -71,7 +72,8 @@ def contexts(matched: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, few in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            sides = [batch.column(i).to_pylist() for i in (0, 1)]
+            for doc_id, own, text, few in zip(*sides, batch.column(2), batch.column(3)):
                 if not few.is_valid or not len(few):
                     continue
                 data, at = _text_bytes(text), np.unique(few.values.to_numpy()).astype(np.int64)
@@ -84,16 +86,17 @@ def contexts(matched: DataFrame, length: int) -> DataFrame:
                         [
                             pa.array(grams.view(np.int64)),
                             pa.array(np.full(len(some), doc_id, np.int64)),
+                            pa.array(np.full(len(some), own, np.int64)),
                             pa.array(some.astype(np.int32)),
                             pa.array(np.minimum(some, before).astype(np.int16)),
                             pa.array(np.minimum(len(data) - some, length).astype(np.int16)),
                             binary_rows(rows),
                         ],
-                        ["gram", "doc_id", "place", "left", "right", "bytes"],
+                        ["gram", "doc_id", "own", "place", "left", "right", "bytes"],
                     )
 
-    return matched.select("doc_id", "text", "few").mapInArrow(
-        cut, "gram long, doc_id long, place int, left short, right short, bytes binary"
+    return matched.select("doc_id", "own", "text", "few").mapInArrow(
+        cut, "gram long, doc_id long, own long, place int, left short, right short, bytes binary"
     )
 
 
@@ -187,14 +190,14 @@ def _classes(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def repeats(gram, doc_id, place, left, right, rows: np.ndarray, length: int):
-    """``start, end`` of the bytes around each anchor that repeat an earlier place.
+def repeats(gram, doc_id, own, place, left, right, rows: np.ndarray, length: int):
+    """``doc_id, own, start, end`` of the bytes around each anchor that repeat an earlier place.
 
     Rows are whole groups of one anchor each; (0, 0) where nothing repeats.
     """
     before = length - ANCHOR
     by_place = np.lexsort((place, doc_id, gram))
-    gram, doc_id, place, left, right, rows = (v[by_place] for v in (gram, doc_id, place, left, right, rows))
+    gram, doc_id, own, place, left, right, rows = (v[by_place] for v in (gram, doc_id, own, place, left, right, rows))
     deepest = np.full(len(gram), -1, np.int64)
     shallowest = np.full(len(gram), length + 1, np.int64)
     after = Suffixes(rows[:, before:], right)
@@ -222,6 +225,7 @@ def repeats(gram, doc_id, place, left, right, rows: np.ndarray, length: int):
     found = deepest >= 0
     return (
         doc_id[found],
+        own[found],
         place[found].astype(np.int64) - deepest[found],
         place[found].astype(np.int64) - shallowest[found] + length,
     )
@@ -232,13 +236,13 @@ def gram_numbers(gram: np.ndarray) -> np.ndarray:
 
 
 def _grouped(around: DataFrame, length: int) -> DataFrame:
-    """``doc_id, start, end`` of repeated bytes, from groups of anchors."""
-    names = ("gram", "doc_id", "place", "left", "right")
+    """``doc_id, own, start, end`` of repeated bytes, from groups of anchors."""
+    names = ("gram", "doc_id", "own", "place", "left", "right")
 
     def solve(held) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*held)] if held else [np.empty(0, np.int64)] * 3
+        columns = [np.concatenate(c) for c in zip(*held)] if held else [np.empty(0, np.int64)] * 4
         found = repeats(*columns, length) if held else columns
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["doc_id", "own", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -263,15 +267,16 @@ def _grouped(around: DataFrame, length: int) -> DataFrame:
         yield solve(held)
 
     ordered = around.repartition("gram").sortWithinPartitions("gram")
-    return ordered.mapInArrow(run, "doc_id long, start long, end long")
+    return ordered.mapInArrow(run, "doc_id long, own long, start long, end long")
 
 
 def _frequent(matched: DataFrame, length: int) -> DataFrame:
-    """``doc_id, start, end`` of repeated strings around very frequent anchors."""
+    """``doc_id, own, start, end`` of repeated strings around very frequent anchors."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, many in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            sides = [batch.column(i).to_pylist() for i in (0, 1)]
+            for doc_id, own, text, many in zip(*sides, batch.column(2), batch.column(3)):
                 if not many.is_valid or not len(many):
                     continue
                 data, at = _text_bytes(text), many.values.to_numpy().astype(np.int64)
@@ -282,18 +287,21 @@ def _frequent(matched: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(some), doc_id, np.int64)),
+                            pa.array(np.full(len(some), own, np.int64)),
                             pa.array(some),
                             binary_rows(_around(data, some, 0, length)),
                         ],
-                        ["doc_id", "start", "string"],
+                        ["doc_id", "own", "start", "string"],
                     )
 
-    strings = matched.select("doc_id", "text", "many").mapInArrow(cut, "doc_id long, start long, string binary")
-    firsts = strings.groupBy("string").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    strings = matched.select("doc_id", "own", "text", "many").mapInArrow(
+        cut, "doc_id long, own long, start long, string binary"
+    )
+    firsts = saved(strings.groupBy("string").agg(F.min(F.struct("doc_id", "start")).alias("first")), "strings")
     return (
-        strings.join(firsts, "string")
+        strings.join(sent_if_small(firsts, length + 96), "string")
         .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-        .select("doc_id", "start", (F.col("start") + length).alias("end"))
+        .select("doc_id", "own", "start", (F.col("start") + length).alias("end"))
     )
 
 
@@ -306,26 +314,15 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def removed(docs: DataFrame, length: int, partitions: int | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, others kept) with ``starts`` and ``ends`` of the removed runs.
-
-    The texts are dealt by doc_id once; both uses of them share that shuffle.
-    """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """``doc_id, text, rest, starts, ends``: the removed runs of every row of ``docs``;
+    ``rest`` holds the other columns."""
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed(docs)
     marks = saved(
-        repeated_anchors(docs, lambda text: places(_text_bytes(text), length), MAX_GROUP), "repeated-anchors"
+        repeated_anchors(rows, lambda text: places(_text_bytes(text), length), MAX_GROUP), "repeated-anchors"
     )
-    dealt = docs.repartition(n, "doc_id")
-    matched = dealt.join(marks.hint("shuffle_hash"), "doc_id", "left")
-    found = _grouped(contexts(matched, length), length)
-    if not marks.where("size(many) > 0").isEmpty():
-        found = found.union(_frequent(matched, length))
-    runs = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
-    return (
-        dealt.join(runs.hint("shuffle_hash"), "doc_id", "left")
-        .withColumn("starts", F.col("_runs.start"))
-        .withColumn("ends", F.col("_runs.end"))
-        .drop("_runs")
+    return cut_out(
+        rows, marks, n, lambda m: _grouped(contexts(m, length), length), lambda m: _frequent(m, length)
     )
 
 
