@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, delete_all, saved, sent_if_small, written
 from .shingles import fingerprint, shingle_set
 
 #: Share of documents whose n-grams are counted to find frequent ones: 1 in so many.
@@ -49,6 +49,8 @@ ORDER_SAMPLE = 8
 #: Seen so often in the sample, an n-gram goes last; so many at most (8 bytes each).
 FREQUENT, FREQUENT_MOST = 15, 200_000
 BUCKETS = 256
+#: An id and a fingerprint in a table that is sent to all tasks.
+WANTED_BYTES = 64
 #: First pass: n-grams of a document (its lowest hashes, which near copies share)
 #: that are blocked, and neighbours it meets there.
 FIRST_GRAMS, NEIGHBOURS = 3, 8
@@ -256,7 +258,10 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _whole(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The sets of the classes ``(id, fp)`` in ``wanted``, once per row that holds one."""
+    """The sets of the classes ``(id, fp)`` in ``wanted``, once per row that holds one.
+
+    Texts are only shuffled if the wanted ids are too many to be sent to them.
+    """
 
     def sets(batches):
         for batch in batches:
@@ -274,7 +279,7 @@ def _whole(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     return (
         docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-        .join(wanted.hint("shuffle_hash"), "id")
+        .join(wanted, "id")
         .select("id", "text", "fp")
         .mapInArrow(sets, "id long, fp binary, grams binary")
     )
@@ -283,8 +288,8 @@ def _whole(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs that reach the threshold, by the overlap of their whole sets."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.select("id", "fp").join(ends, "id")
-    whole = saved(_whole(docs, wanted, k).select("id", "grams"), "sets")
+    wanted = saved(classes.select("id", "fp").join(ends, "id"), "wanted")
+    whole = saved(_whole(docs, sent_if_small(wanted, WANTED_BYTES), k).select("id", "grams"), "sets")
 
     def check(batches):
         for batch in batches:
@@ -392,7 +397,7 @@ def links_within(docs: DataFrame, members: DataFrame, k: int, percent: int) -> D
     seated = (
         banded.join(bands, ["component_id", "band"])
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-        .join(_whole(docs, members.select("id", "fp"), k), ["id", "fp"])
+        .join(_whole(docs, members.select("id", "fp").hint("shuffle_hash"), k), ["id", "fp"])
         .select("id", "fp", "grams", "component_id", F.explode(every).alias("seat"))
         .select("id", "fp", "grams", "component_id", "seat.*")
     )
@@ -407,9 +412,11 @@ def join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     computed before they are read.
     """
     spark = docs.sparkSession
-    signed = saved(signatures(docs, k, percent), "signatures")
+    with written() as full:
+        whole = saved(signatures(docs, k, percent), "signatures")
+    signed = saved(whole.select("doc_id", "n", "fp"), "sizes")
     classes = saved(
-        signed.where("n > 0 and doc_id is not null")
+        whole.where("n > 0 and doc_id is not null")
         .groupBy("fp")
         .agg(
             F.min("doc_id").alias("id"),
@@ -420,6 +427,7 @@ def join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
         ),
         "classes",
     )
+    delete_all(spark, full)
 
     def entries(rows: DataFrame, *more: str) -> DataFrame:
         return rows.select("id", "n", *more, F.posexplode("prefix").alias("place", "gram"))
@@ -428,8 +436,12 @@ def join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
         return rows.repartition("gram").sortWithinPartitions("gram", *order)
 
     def links_of(candidates: DataFrame) -> DataFrame:
-        held = saved(_bounded(candidates.distinct(), classes, percent), "pairs")
-        return saved(_linked(held, docs, classes, k, percent), "links")
+        with written() as parts:
+            held = saved(_bounded(candidates.distinct(), classes, percent), "pairs")
+            linked = _linked(held, docs, classes, k, percent)
+        links = saved(linked, "links")
+        delete_all(spark, parts)
+        return links
 
     def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
         known = rows.join(components(links), "id", "left")
