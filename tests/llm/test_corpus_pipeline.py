@@ -126,6 +126,30 @@ def test_pipeline_on_odd_rows(spark, sf, odd, plain):  # noqa: F811
     assert corpus_pipeline.ngram_jaccard_join(spark, odd, sf).where("doc_id = 2").count() == 1
 
 
+def test_pipeline_keeps_different_texts_that_share_an_id(spark, sf):
+    a = " ".join(f"word{i % 97} runs{i % 13}" for i in range(120))
+    b = " ".join(f"other{i} goes{i % 7}" for i in range(120))
+    rows = [(0, a), (1, a + " end"), (1, b), (1, b), (3, b + " more"), (None, a)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    joined = corpus_pipeline.ngram_jaccard_join(spark, table.repartition(3), sf)
+    assert joined.columns == COLUMNS
+    same([(r["doc_id"], r["text"]) for r in joined.collect()], [(0, a), (1, b), (None, a)])
+    cut = corpus_pipeline.suffix_array_dedup(spark, table, sf).collect()
+    assert Counter(r["text"] for r in cut)[b] == 2
+
+
+def test_run_leaves_only_its_result_behind(spark, sf):
+    from pathlib import Path
+
+    from lodestone.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, sf)
+    new = set(folder.iterdir()) - before
+    assert len(new) == 1 and "best_fit_packing" in new.pop().name and out.count() > 0
+
+
 def test_pipeline_on_an_empty_table(spark, sf, empty, plain):  # noqa: F811
     run_stages(spark, empty, sf, plain)
 

@@ -70,16 +70,83 @@ def test_colliding_window_hashes_fall_back_to_words(spark, monkeypatch):
     assert row[0] == base_statistics(text)[4] == 10
 
 
-def test_decision_list_learns_and_orders_rules(spark):
-    junk = [(i, "$$ %% ## $$ %% " * 3 + f"w{i} v{i} u{i} t{i} s{i}", 0) for i in range(60)]
-    good = [(100 + i, " ".join(f"plain{i}x{j}" for j in range(20 + i % 5)), 1) for i in range(60)]
-    table = spark.createDataFrame(junk + good, "doc_id long, text string, quality int")
+def learned_by_hand(rows, names, cuts):
+    """Sequential covering over plain rows ``(values, bad, grow)``."""
+    rules, rest = [], rows
+
+    def holds(test, values):
+        name, above, cut = test
+        return (values[name] >= cut) == above
+
+    def gain(test, covered):
+        inside = [bad for values, bad, _ in covered if holds(test, values)]
+        share = sum(bad for _, bad, _ in covered) / len(covered)
+        return sum(inside) * (math.log2(sum(inside) / len(inside)) - math.log2(share)) if any(inside) else 0.0
+
+    while len(rules) < quality.MAX_RULES:
+        covered, tests = [r for r in rest if r[2]], []
+        while len(tests) < quality.MAX_TESTS and 0 < sum(r[1] for r in covered) < len(covered):
+            best, chosen = 0.0, None
+            for name in names:
+                for cut in cuts[name]:
+                    for above in (False, True):
+                        if gain((name, above, cut), covered) > best + 1e-9:
+                            best, chosen = gain((name, above, cut), covered), (name, above, cut)
+            if chosen is None:
+                break
+            tests.append(chosen)
+            covered = [r for r in covered if holds(chosen, r[0])]
+        sums = []
+        for k in range(1, len(tests) + 1):
+            inside = [bad for values, bad, grow in rest if not grow and all(holds(t, values) for t in tests[:k])]
+            sums.append((sum(inside), len(inside) - sum(inside)))
+        if not sums:
+            break
+        size = max(range(len(sums)), key=lambda k: ((sums[k][0] - sums[k][1]) / max(sum(sums[k]), 1), -k))
+        p, n = sums[size]
+        if p < quality.MIN_COVER or p < quality.MIN_PRECISION * (p + n):
+            break
+        rules.append(tuple(tests[: size + 1]))
+        rest = [r for r in rest if not all(holds(t, r[0]) for t in rules[-1])]
+    return rules
+
+
+def labelled_texts(noisy):
+    rng = np.random.default_rng(5)
+    junk = [(i, "$$ %% ## " + " ".join(f"w{i}x{j}" for j in range(17 + i % 5)), 0) for i in range(60)]
+    long = [(60 + i, " ".join(f"{'q' * 15}{i}y{j}" for j in range(20 + i % 5)), 0) for i in range(60)]
+    good = [(200 + i, " ".join(f"plain{i}x{j}" for j in range(20 + i % 5)), 1) for i in range(90)]
+    rows = junk + long + good
+    return [(i, t, int(1 - q) if noisy and rng.random() < 0.04 else q) for i, t, q in rows]
+
+
+@pytest.mark.parametrize("noisy", [False, True])
+def test_decision_list_is_that_of_a_plain_learner(spark, noisy):
+    table = spark.createDataFrame(labelled_texts(noisy), "doc_id long, text string, quality int")
     labels = table.select("doc_id", "quality").union(spark.createDataFrame([(1, None), (None, 0)], "doc_id long, quality int"))
-    wide = table.withColumn("text", F.regexp_replace("text", "(\\$\\$ %% ## )+", "$$%##$%# "))
-    judged, rules = quality.judge(wide.select("doc_id", "text"), labels)
+    judged, learned = quality.judge(table.select("doc_id", "text"), labels)
+    values = quality.features(F.col("s"))
+    flat = quality.labelled_rows(judged, labels).select(
+        "bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"), *[v.alias(n) for n, v in values.items()]
+    ).collect()
+    assert len(flat) == 210
+    cuts = {}
+    for name in values:
+        ordered = sorted(r[name] for r in flat)
+        cuts[name] = sorted({ordered[math.ceil((i + 1) / (quality.BINS + 1) * len(ordered)) - 1] for i in range(quality.BINS)})
+    rows = [({n: r[n] for n in values}, r["bad"], r["grow"]) for r in flat]
+    expected = learned_by_hand(rows, list(values), cuts)
+    assert [tuple((t.feature, t.above, t.threshold) for t in rule) for rule in learned.rules] == expected
+    assert len(expected) >= (1 if noisy else 2)
+
+
+def test_decision_list_learns_and_orders_rules(spark):
+    rows = labelled_texts(False)
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    judged, rules = quality.judge(table.select("doc_id", "text"), table.select("doc_id", "quality"))
     assert rules.rules and any("symbol_share" in str(t) for r in rules.rules for t in r)
     kept = {r["doc_id"]: r["kept"] for r in judged.collect()}
-    assert not any(kept[i] for i, _, q in junk) and all(kept[i] for i, _, q in good)
+    assert all(kept[i] == (q == 1) for i, _, q in rows)
 
 
 def test_quality_without_labels_uses_the_base_rule(odd, empty, spark):
@@ -447,6 +514,31 @@ def test_suffix_dedup(docs, monkeypatch, max_group):
             assert tuple(r)[1:] in expected[r["doc_id"]]
 
 
+def test_texts_that_share_an_id_are_cut_apart(spark):
+    a = " ".join(f"word{i % 97} runs{i % 13}" for i in range(120))
+    b = " ".join(f"other{i} goes{i % 7}" for i in range(130))
+    schema = "doc_id long, text string, few string, many string, starts long, own long, rest string"
+    rows = [(0, a), (1, a), (1, b), (2, None), (None, a)]
+    table = spark.createDataFrame([(*r, "f", "m", 1, 2, "r") for r in rows], schema).repartition(3)
+    for module, length in ((suffixes, 100), (fm_index, 35)):
+        cut = module.removed(table, length)
+        assert set(cut.schema["rest"].dataType.names) == {"few", "many", "starts", "own", "rest"}
+        left = {(r["doc_id"], r[1]): r["n_removed"] for r in module.digest(cut).collect()}
+        size = (lambda t: len(t.encode())) if module is suffixes else (lambda t: len(t.split()))
+        assert left[1, size(b)] == 0 and left[1, size(a)] == size(a) and left[None, size(a)] == 0
+        assert left[0, size(a)] == (0 if module is suffixes else size(a))
+
+
+def test_very_frequent_anchors_go_another_way(spark, monkeypatch):
+    lines = "the same long line stands in very many documents and is always written in just this way so that its anchors are seen again and again by every task of the whole job that reads them as it goes"
+    table = spark.createDataFrame([(i, f"start {i} {lines} end {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    for module, length in ((suffixes, 100), (fm_index, 30)):
+        plain = sorted(map(tuple, module.digest(module.removed(table, length)).collect()))
+        monkeypatch.setattr(module, "MAX_GROUP", 40)
+        assert sorted(map(tuple, module.digest(module.removed(table, length)).collect())) == plain
+        assert sum(r[2] > 0 for r in plain) >= 399
+
+
 def test_suffix_sort_orders_and_verifies(monkeypatch):
     rng = np.random.default_rng(4)
     rows = rng.integers(97, 99, (300, 20)).astype(np.uint8)
