@@ -3,26 +3,35 @@
 Each stage takes all that its predecessor kept, as a table, and returns the columns
 of ``documents``; the last returns packed pieces. Stages are written as Parquet in
 the folder of ``spark.checkpoint.dir`` and read again, so a lost executor never
-costs more than the stage it was part of.
+costs more than the stage it was part of. A stage is called once its predecessor's
+result is written, and deletes the tables that the predecessor made on the way;
+shuffle files go with the job they belong to.
 
 Defined cases, beyond those of the operators: rows with a null doc_id pass the
-deduplicating stages as they are; of rows that share a doc_id one passes the n-gram
-join; in the mix, rows that share a doc_id are taken equally often.
+deduplicating stages as they are; texts that share a doc_id are documents of their
+own there; in the mix, rows that share a doc_id are taken equally often.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, mixing, packing, quality, suffixes
-from lodestone.llm.common import narrowed, new_path, restored
+from lodestone.llm.common import delete, delete_all, narrowed, new_path, restored, saved, sent_if_small, written
 from lodestone.llm.queries import table, tokenizer_file
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 REPEATED_BYTES = 100
 SOURCE_WEIGHTS = (5, 2, 1)
 SEQUENCE_TOKENS, END_ID = 2048, 0
+#: A row number in a table that is sent to all tasks.
+DROPPED_BYTES = 16
+#: Removes the shuffle files of every job once it has ended.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,25 +41,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies."""
-    members, _ = jaccard.join(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    dropped = members.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    shared = members.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if shared.isEmpty():
-        return left
-    unknown = F.col("doc_id").isNull()
-    return left.where(~unknown).dropDuplicates(["doc_id"]).union(left.where(unknown))
+    """The document with the smallest id of every group of near copies.
+
+    Where rows share a doc_id, they get a number, written once with them, that tells
+    them apart; else the doc_id does.
+    """
+    rows = narrowed(docs, "doc_id", "text")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        rows = rows.withColumn("row", F.col("doc_id").cast("long"))
+    else:
+        rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text")
+    found, _ = jaccard.join(numbered, SHINGLE_WORDS, SIMILARITY_PERCENT)
+    members = saved(found.select(F.col("doc_id").alias("row"), "component_id"), "members")
+    shared = members.where("row <> component_id").select("component_id").distinct()
+    grouped = members.join(shared, "component_id").join(rows.select("row", "doc_id"), "row")
+    firsts = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+    dropped = saved(grouped.select("row").join(firsts.select("row"), "row", "left_anti"), "dropped")
+    return restored(rows.join(sent_if_small(dropped, DROPPED_BYTES), "row", "left_anti"), docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that repeat an earlier text; lengths follow."""
-    needed = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
-    cut = suffixes.removed(narrowed(docs, *needed), REPEATED_BYTES)
-    out = cut.withColumn("text", suffixes.kept_text(F.col("text"), F.col("starts"), F.col("ends")))
-    if "n_chars" in needed:
+    cut = suffixes.removed(docs, REPEATED_BYTES)
+    kept = suffixes.kept_text(F.col("text"), F.col("starts"), F.col("ends"))
+    out = restored(cut.withColumn("text", kept), docs)
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return restored(out.drop("starts", "ends"), docs)
+    return out
 
 
 def pareto_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,23 +87,49 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs, tokenizer_file(), END_ID, SEQUENCE_TOKENS)
 
 
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("ngram_jaccard_join", ngram_jaccard_join),
-    ("suffix_array_dedup", suffix_array_dedup),
-    ("pareto_mix", pareto_mix),
-    ("best_fit_packing", best_fit_packing),
-]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that the last call of a stage made on the way to its result.
+_made: dict[str, list[str]] = {}
+
+
+def _staged(*builds: Stage) -> list[tuple[str, Stage]]:
+    """Stages that clean up after their predecessors."""
+
+    def of(build: Stage, before: str | None) -> Stage:
+        @wraps(build)
+        def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            spark.conf.set(CLEANUP_KEY, "true")
+            # A cached predecessor may not have read its tables yet.
+            if before in _made and not docs.is_cached:
+                delete_all(spark, _made.pop(before))
+            with written() as _made[build.__name__]:
+                return build(spark, docs, sf_dir)
+
+        return stage
+
+    names = [None, *(b.__name__ for b in builds)]
+    return [(b.__name__, of(b, before)) for b, before in zip(builds, names)]
+
+
+STAGES = _staged(quality_rules, ngram_jaccard_join, suffix_array_dedup, pareto_mix, best_fit_packing)
 
 #: The learned list and the tokenizer have no SQL; tests use a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = new_path(spark, f"stage-{name}")
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    docs, last = table(spark, sf_dir, "documents"), None
+    cleanup = spark.conf.get(CLEANUP_KEY, "false")
+    try:
+        for name, stage in STAGES:
+            path = new_path(spark, f"stage-{name}")
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+            if last is not None:
+                delete(spark, last)
+            last = path
+        delete_all(spark, _made.pop(name))
+    finally:
+        spark.conf.set(CLEANUP_KEY, cleanup)
     return docs
