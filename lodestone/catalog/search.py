@@ -296,6 +296,40 @@ def ivf_probe_all(spark, sf_dir):
     return _hits(index.search(_centres(spark, sf_dir), 10, n_probe=LISTS), "id")
 
 
+PROBES = 2
+PROBED = (
+    *_kmeans_sql(), CENTRES, NEAREST,
+    f"""probe AS (SELECT query_id, list_id, row_number() OVER (
+      PARTITION BY query_id ORDER BY round(list_dot_product(q, c), 9) DESC, list_id) AS p FROM asked CROSS JOIN c{ROUNDS}),
+    probed AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY near.rank) AS rank
+      FROM probe JOIN a{ROUNDS} USING (list_id) JOIN near USING (query_id, id) WHERE p <= {PROBES})""",
+)
+
+
+@query(S.with_(*PROBED) + "SELECT query_id, id, rank, round(score, 6) AS score FROM probed WHERE rank <= 10")
+def ivf_stored_search(spark, sf_dir):
+    """The nearest lists of an index laid out in segments; other lists are not read."""
+    path = f"{use_checkpoints(spark)}/ivf-{uuid.uuid4().hex}"
+    _ivf(spark, sf_dir).write(path, segment_bytes=1 << 14)
+    stored = IVFIndex(64, LISTS).read(spark, path)
+    return _hits(stored.search(_centres(spark, sf_dir), 10, n_probe=PROBES), "id")
+
+
+@query(S.with_(*PROBED) + "SELECT query_id, id, rank, round(score, 6) AS score FROM probed WHERE rank <= 10")
+def ivf_gathered(spark, sf_dir):
+    """The same from joining the queries to the segments of their lists."""
+    return _hits(_ivf(spark, sf_dir).search_gathered(_centres(spark, sf_dir), 10, PROBES), "id")
+
+
+@query(
+    S.with_(*PROBED)
+    + f"SELECT query_id, count(*) AS scanned FROM probe JOIN a{ROUNDS} USING (list_id) WHERE p <= {PROBES} GROUP BY query_id"
+)
+def ivf_scanned(spark, sf_dir):
+    """How many vectors such a search scores."""
+    return _ivf(spark, sf_dir).vectors_scanned(_centres(spark, sf_dir), PROBES)
+
+
 DIAL = (1, 2, 4, 8)
 
 
@@ -323,30 +357,60 @@ def ivf_recall_curve(spark, sf_dir):
     return rounded(curve, "recall", "scanned")
 
 
-LINKS = 6
+LINKS, BEAM = 6, 32
+EDGES = (
+    UNIT,
+    f"""forward AS MATERIALIZED (SELECT src, dst FROM (
+      SELECT a.id AS src, b.id AS dst, row_number() OVER (
+        PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v) / greatest(sqrt(list_dot_product(a.v, a.v)), 1e-12), 9) DESC, b.id) AS r
+      FROM unit a JOIN unit b ON b.id < a.id) WHERE r <= {LINKS}),
+    own AS (SELECT src, count(*) AS n FROM forward GROUP BY src),
+    back AS (SELECT dst AS src, f.src AS dst, row_number() OVER (PARTITION BY dst ORDER BY f.src) AS r FROM forward f),
+    edges AS MATERIALIZED (
+      SELECT src, dst FROM forward UNION ALL
+      SELECT back.src, back.dst FROM back LEFT JOIN own USING (src) WHERE r <= {2 * LINKS} - coalesce(n, 0))""",
+)
+#: The walk: the best open node is expanded until it is worse than a full beam.
+WALK = (
+    *EDGES, CENTRES,
+    "adjacent AS MATERIALIZED (SELECT src, list_sort(list(DISTINCT dst)) AS links FROM edges GROUP BY src)",
+    """scored AS MATERIALIZED (
+      SELECT query_id, list({'score': round(list_dot_product(q, v), 9), 'node': id} ORDER BY id) AS s, list(id ORDER BY id) AS ids
+      FROM asked CROSS JOIN unit GROUP BY query_id)""",
+    f"""walk AS (
+      SELECT query_id, 0 AS step, [ids[1]] AS visited, [s[1]] AS frontier, [s[1]] AS best FROM scored
+      UNION ALL
+      SELECT query_id, step + 1, visited || list_transform(fresh, lambda x: x.node),
+             list_filter(frontier, lambda x: x.node <> top.node) || fresh, list_reverse_sort(best || fresh)[1:{BEAM}]
+      FROM (
+        SELECT w.*, list_transform(list_filter(links, lambda n: NOT list_contains(visited, n)), lambda n: s[list_position(ids, n)]) AS fresh
+        FROM (SELECT *, list_reverse_sort(frontier)[1] AS top FROM walk WHERE len(frontier) > 0) w
+        JOIN scored USING (query_id) JOIN adjacent ON src = top.node
+        WHERE len(best) < {BEAM} OR top.score >= best[len(best)].score))""",
+    """walked AS (SELECT query_id, arg_max(visited, step) AS visited, arg_max(best, step) AS best FROM walk GROUP BY query_id)""",
+)
 
 
-@query(
-    S.with_(
-        UNIT,
-        f"""forward AS (SELECT src, dst FROM (
-          SELECT a.id AS src, b.id AS dst, row_number() OVER (
-            PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v) / greatest(sqrt(list_dot_product(a.v, a.v)), 1e-12), 9) DESC, b.id) AS r
-          FROM unit a JOIN unit b ON b.id < a.id) WHERE r <= {LINKS}),
-        own AS (SELECT src, count(*) AS n FROM forward GROUP BY src),
-        back AS (SELECT dst AS src, f.src AS dst, row_number() OVER (PARTITION BY dst ORDER BY f.src) AS r FROM forward f)""",
-    )
-    + f"""SELECT src, dst FROM forward UNION ALL
-    SELECT back.src, back.dst FROM back LEFT JOIN own USING (src) WHERE r <= {2 * LINKS} - coalesce(n, 0)"""
-)
+@query(S.with_(*EDGES) + "SELECT src, dst FROM edges")
 def nsw_edges(spark, sf_dir):
     return NSWIndex(64, m=LINKS).fit(tables.vectors(spark, sf_dir)).edges
 
 
-@query()
+@query(
+    S.with_(*WALK)
+    + """SELECT query_id, i AS rank, best[i].node AS id, round(best[i].score, 6) AS score
+    FROM (SELECT query_id, best, unnest(range(1, least(len(best), 10) + 1)) AS i FROM walked)"""
+)
 def nsw_search(spark, sf_dir):
     index = NSWIndex(64, m=LINKS).fit(tables.vectors(spark, sf_dir))
-    return _hits(index.search(_centres(spark, sf_dir), 10, ef=32), "id")
+    return _hits(index.search(_centres(spark, sf_dir), 10, ef=BEAM), "id")
+
+
+@query(S.with_(*WALK) + "SELECT query_id, len(visited) AS scanned FROM walked")
+def nsw_scanned(spark, sf_dir):
+    """How many vectors a walk scores."""
+    index = NSWIndex(64, m=LINKS).fit(tables.vectors(spark, sf_dir))
+    return index.vectors_scanned(_centres(spark, sf_dir), ef=BEAM)
 
 
 @query(S.with_(*BASE, S.dense()) + f"SELECT {HITS} FROM dense WHERE rank <= 10")

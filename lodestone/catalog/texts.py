@@ -188,8 +188,7 @@ def citation_verify(spark, sf_dir):
           FROM chunks c JOIN docs d USING (doc_id))"""
 )
 def citation_build(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    cited = citations.cite(C.build_index(docs, 200), docs)
+    cited = citations.cited_chunks(documents(spark, sf_dir), 200)
     return cited.select(
         "doc_id", "chunk_index", "citation.line", F.col("citation.column").alias("column_at"),
         "citation.quote", "citation.title", "citation.uri",

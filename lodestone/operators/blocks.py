@@ -60,8 +60,19 @@ class _Selection:
         self.rows: pa.Table | None = None
 
     def offer(self, scores: np.ndarray, batch: pa.Table) -> None:
+        """Take the scores of a batch (rows x queries)."""
+        self._take(scores, batch, None)
+        self._trim()
+
+    def offer_parts(self, parts, batch: pa.Table) -> None:
+        """Take scores of some pairs of a batch: ``(rows, queries, scores)`` each."""
+        for rows, queries, scores in parts:
+            self._take(scores, batch.take(pa.array(rows)), queries)
+        self._trim()
+
+    def _take(self, scores: np.ndarray, batch: pa.Table, queries: np.ndarray | None) -> None:
         keyed = np.round(scores, DECIMALS)
-        floor = self.floor
+        floor = self.floor if queries is None else self.floor[queries]
         reach = self._reach(batch)
         if reach < len(keyed):
             cut = np.partition(keyed, len(keyed) - reach, axis=0)[len(keyed) - reach]
@@ -73,10 +84,10 @@ class _Selection:
         if not len(item):
             return
         found = batch.take(pa.array(item))
-        found = found.append_column("_query", pa.array(query.astype(np.int64)))
+        asked = query if queries is None else queries[query]
+        found = found.append_column("_query", pa.array(asked.astype(np.int64)))
         found = found.append_column("score", pa.array(scores[item, query].astype(np.float64)))
         self.rows = found if self.rows is None else pa.concat_tables([self.rows, found])
-        self._trim()
 
     def _reach(self, batch: pa.Table) -> int:
         """How many rows of one batch can survive for one query."""
@@ -86,6 +97,8 @@ class _Selection:
         return self.keep.budget // shortest + 2
 
     def _trim(self) -> None:
+        if self.rows is None:
+            return
         query = self.rows.column("_query").to_numpy()
         score = np.round(self.rows.column("score").to_numpy(), DECIMALS)
         places = [part for name in self.order for part in _sortable(self.rows.column(name))]
@@ -155,7 +168,8 @@ def select_best(
     ``kernel`` has ``prepare(query_table) -> state``, ``load(batch) -> loaded``
     and ``score(state, loaded) -> (rows x queries) array``; a batch is loaded
     once however many blocks of queries there are. An item scored ``-inf`` is no
-    candidate. ``queries`` carries ``query_id`` and whatever the kernel reads.
+    candidate. A kernel that scores only some pairs has ``parts(state, loaded)``
+    instead, which yields ``(rows, queries, scores)``. ``queries`` carries ``query_id`` and whatever the kernel reads.
     Ties go to the smaller ``order`` values.
     """
     limit = session.BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
@@ -218,7 +232,10 @@ def _scan(kernel, keep, order, size, columns, block, batches, arrow):
             part = table.slice(start, ROWS_PER_STEP)
             wanted, loaded = part.select(columns), kernel.load(part)
             for _, state, chosen in steps:
-                chosen.offer(kernel.score(state, loaded), wanted)
+                if hasattr(kernel, "parts"):
+                    chosen.offer_parts(kernel.parts(state, loaded), wanted)
+                else:
+                    chosen.offer(kernel.score(state, loaded), wanted)
     for ids, _, chosen in steps:
         if chosen.rows is not None:
             yield from chosen.result(ids, arrow).to_batches()

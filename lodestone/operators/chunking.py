@@ -8,12 +8,14 @@ a number, so no order, index or number of sources is out of range.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
+from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import unicode as U
 
@@ -31,6 +33,8 @@ ABBREVIATIONS = (
     "jul.", "aug.", "sep.", "sept.", "oct.", "nov.", "dec.",
 )
 
+#: Pieces of a text that are folded at once.
+BLOCK = 512
 _SPANS = "array<struct<start:int,end:int,first:int,last:int>>"
 
 
@@ -71,7 +75,12 @@ def _span(start: Column, end: Column, first: Column, last: Column) -> Column:
 
 
 def _packed(measured: Column, max_chars: int) -> Column:
-    """Greedy packing of sentences as a fold over the measured pieces."""
+    """Greedy packing of sentences as a fold over the measured pieces.
+
+    The state of a fold is copied at every step, with the spans found so far. So a
+    long text is folded block by block: an inner fold begins without spans, and only
+    the outer one, of few steps, carries them all.
+    """
     nothing = F.array().cast(_SPANS)
     no_int = F.lit(None).cast("int")
 
@@ -113,17 +122,41 @@ def _packed(measured: Column, max_chars: int) -> Column:
             out,
         )
 
+    def block_step(acc, block):
+        fields = [acc[name] for name in ("offset", "start", "end", "first", "last")]
+        folded = F.aggregate(block, state(*fields, nothing), step)
+        return A.let(
+            folded,
+            lambda new: state(
+                new["offset"], new["start"], new["end"], new["first"], new["last"],
+                F.concat(acc["out"], new["out"]),
+            ),
+        )
+
     def finish(acc):
         rest = F.array(_span(acc["start"], acc["end"], acc["first"], acc["last"]))
         return F.when(acc["start"].isNotNull(), F.concat(acc["out"], rest)).otherwise(acc["out"])
 
     start_state = state(F.lit(0), no_int, no_int, no_int, no_int, nothing)
-    return F.aggregate(measured, start_state, step, finish)
+    begins = F.sequence(F.lit(0), F.greatest(F.size(measured) - 1, F.lit(0)), F.lit(BLOCK))
+    blocks = F.transform(begins, lambda at: F.slice(measured, at + 1, F.lit(BLOCK)))
+    return F.aggregate(blocks, start_state, block_step, finish)
 
 
 def _sentence_spans(measured: Column) -> Column:
-    # Every sentence is longer than a budget of zero, so each stands alone.
-    return _packed(measured, 0)
+    """Every piece that is not blank, by running sums of the lengths."""
+
+    def spans(ends):
+        found = F.zip_with(
+            measured, ends,
+            lambda piece, end: F.when(
+                piece["body"] > 0,
+                _span(end - piece["n"] + piece["lead"], end - piece["n"] + piece["lead"] + piece["body"], piece["i"], piece["i"]),
+            ),
+        )
+        return F.filter(found, lambda span: span.isNotNull())
+
+    return A.let(A.running_sums(F.transform(measured, lambda piece: piece["n"])), spans)
 
 
 def _texts(pieces: Column, spans: Column) -> Column:
@@ -132,7 +165,7 @@ def _texts(pieces: Column, spans: Column) -> Column:
         spans,
         lambda span, i: F.struct(
             T.strip(
-                F.array_join(F.slice(pieces, span["first"] + 1, span["last"] - span["first"] + 1), "")
+                F.array_join(F.transform(F.sequence(span["first"], span["last"]), lambda j: F.get(pieces, j)), "")
             ).alias("text"),
             span["start"].alias("start"),
             span["end"].alias("end"),
@@ -145,24 +178,21 @@ def with_sentence_chunks(frame: DataFrame, text: str, out: str, max_chars: int)
     """Add ``out``: array of chunks holding whole sentences up to ``max_chars``."""
     if max_chars < 1:
         raise ValueError(f"max_chars must be at least 1, got {max_chars}")
-    return _with_spans(frame, text, out, lambda measured: _packed(measured, max_chars))
+    return _with_spans(frame, text, out, lambda _, measured: _packed(measured, max_chars))
 
 
 def with_sentences(frame: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: array of single sentences with their offsets."""
-    return _with_spans(frame, text, out, _sentence_spans)
-
-
-def _bound(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row: a lambda variable
-    cannot be duplicated when the optimizer merges projections."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return _with_spans(frame, text, out, lambda _, measured: _sentence_spans(measured))
 
 
 def _with_spans(frame, text, out, spans_of):
     return frame.withColumn(
         out,
-        _bound(_pieces(F.col(text)), lambda pieces: _texts(pieces, spans_of(_measured(pieces)))),
+        A.let(
+            _pieces(F.col(text)),
+            lambda pieces: A.let(_measured(pieces), lambda measured: _texts(pieces, spans_of(pieces, measured))),
+        ),
     )
 
 
@@ -196,7 +226,7 @@ def with_fixed_chunks(
     parts = F.struct(
         strides.alias("steps"), length.alias("length"), count.cast("int").alias("count")
     )
-    return frame.withColumn(out, _bound(parts, windows))
+    return frame.withColumn(out, A.let(parts, windows))
 
 
 def split_sentences(documents: DataFrame, guarded: bool = False) -> DataFrame:
@@ -206,38 +236,35 @@ def split_sentences(documents: DataFrame, guarded: bool = False) -> DataFrame:
     Texts are normalized first, and offsets count normalized characters.
     """
     source = documents.select("doc_id", U.normalized(F.col("text")).alias("text"))
-    pieces = with_sentences(source, "text", "sentences")
-    if guarded:
-        pieces = pieces.withColumn("sentences", _rejoined(F.col("text"), F.col("sentences")))
+    pieces = _with_spans(
+        source, "text", "sentences",
+        lambda pieces, measured: A.let(_sentence_spans(measured), lambda spans: _rejoined(pieces, spans))
+        if guarded else _sentence_spans(measured),
+    )
     rows = pieces.select("doc_id", F.inline_outer("sentences"))
     return rows.where(F.col("chunk_index").isNotNull()).select(
         "doc_id", F.col("chunk_index").alias("sentence_index"), "start", "end", "text"
     )
 
 
-def _rejoined(text: Column, sentences: Column) -> Column:
-    kind = "array<struct<text:string,start:int,end:int,chunk_index:int>>"
+def _rejoined(pieces: Column, spans: Column) -> Column:
+    """Spans of sentences, each joined to those before it as long as they end in a
+    known abbreviation. Whether one does depends on its own last word alone."""
 
-    def step(out, sentence):
-        last = F.get(out, F.size(out) - 1)
-        word = F.lower(F.element_at(F.split(last["text"], f"[{T.SPACE_CLASS}]+"), -1))
-        joins = (F.size(out) > 0) & word.isin(*ABBREVIATIONS)
-        merged = F.struct(
-            F.substring(text, last["start"] + 1, sentence["end"] - last["start"]).alias("text"),
-            last["start"].alias("start"),
-            sentence["end"].alias("end"),
-            last["chunk_index"].alias("chunk_index"),
-        )
-        fresh = F.struct(
-            sentence["text"].alias("text"),
-            sentence["start"].alias("start"),
-            sentence["end"].alias("end"),
-            F.size(out).alias("chunk_index"),
-        )
-        kept = F.when(joins, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)
-        return F.concat(kept, F.array(F.when(joins, merged).otherwise(fresh)))
+    def opens(span, i):
+        before = T.strip(F.get(pieces, F.get(spans, i - 1)["last"]))
+        word = F.lower(F.element_at(F.split(before, f"[{T.SPACE_CLASS}]+"), -1))
+        return (i == 0) | ~word.isin(*ABBREVIATIONS)
+
+    def joined(begins):
+        def one(at, k):
+            first = F.get(spans, at)
+            last = F.get(spans, F.coalesce(F.get(begins, k + 1), F.size(spans)) - 1)
+            return _span(first["start"], last["end"], first["first"], last["last"])
+
+        return F.transform(begins, one)
 
-    return F.aggregate(sentences, F.array().cast(kind), step)
+    return A.let(A.where(spans, opens), joined)
 
 
 def chunk_documents(
@@ -246,22 +273,27 @@ def chunk_documents(
     overlap: int = 0,
     strategy: str = "fixed",
     mapped: bool = True,
+    cite: Callable[[str, Callable[[Column], Column]], Column] | None = None,
     **metadata,
 ) -> DataFrame:
     """Chunk rows whose offsets point into the raw document text.
 
     Chunk text is NFC. With ``mapped=False`` offsets stay those of the
     normalized copy: the classic mistake, kept so that it can be measured.
-    Keyword arguments join the document metadata and win over it.
+    ``cite`` makes a ``citation`` of every chunk while its document is at hand (see
+    ``citations.cited_chunks``). Keyword arguments join the document metadata and win
+    over it.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; expected fixed or sentence")
+    more = [F.col(c).alias(f"_{c}") for c in ("text", "title", "uri") if cite]
     source = documents.select(
-        "doc_id", "doc_order", "metadata", "text", U.normalized_with_map(F.col("text")).alias("_nfc")
+        "doc_id", "doc_order", "metadata", "text", *more, U.normalized_with_map(F.col("text")).alias("_nfc")
     ).select(
         "doc_id",
         "doc_order",
         "metadata",
+        *[c for c in ("_text", "_title", "_uri") if cite],
         F.coalesce(F.col("_nfc.norm"), F.col("text")).alias("_norm"),
         F.col("_nfc.map").alias("_map"),
     )
@@ -269,16 +301,17 @@ def chunk_documents(
         chunked = with_fixed_chunks(source, "_norm", "_chunks", size, overlap)
     else:
         chunked = with_sentence_chunks(source, "_norm", "_chunks", size)
+    def raw(offset: Column) -> Column:
+        return F.coalesce(F.get(F.col("_map"), offset), offset) if mapped else offset
+
+    if cite:
+        chunked = chunked.withColumn("_chunks", cite("_chunks", raw))
     # The outer form plus a filter: with plain inline the optimizer infers a size
     # filter and computes the chunks twice.
     parts = isinstance(documents.schema["doc_order"].dataType, TT.ArrayType)
     rows = chunked.select(
         "doc_id", "doc_order", "metadata", "_map", F.inline_outer("_chunks")
     ).where(F.col("chunk_index").isNotNull())
-
-    def raw(offset: Column) -> Column:
-        return F.coalesce(F.get(F.col("_map"), offset), offset) if mapped else offset
-
     merged = F.col("metadata")
     if metadata:
         extra = F.create_map(
@@ -294,6 +327,7 @@ def chunk_documents(
         raw(F.col("start")).alias("start"),
         raw(F.col("end")).alias("end"),
         merged.alias("metadata"),
+        *(["citation"] if cite else []),
     )
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import unicode as U
+from .chunking import chunk_documents
 
 
 def cite(chunks: DataFrame, documents: DataFrame, quote_chars: int = 60) -> DataFrame:
@@ -22,21 +24,17 @@ def cite(chunks: DataFrame, documents: DataFrame, quote_chars: int = 60) -> Data
     )
     joined = chunks.join(source, "doc_id", "left")
     span = F.substring(F.col("_raw"), F.col("start") + 1, F.col("end") - F.col("start"))
-    quote = F.when(
-        F.length(span) > quote_chars,
-        F.concat(T.rstrip(F.substring(span, 1, quote_chars)), F.lit("...")),
-    ).otherwise(span)
-    before = F.filter("_breaks", lambda at: at < F.col("start"))
+    quote = _quote(span, quote_chars)
 
-    def citation(breaks):
+    def citation(line):
         return F.struct(
             "doc_id", "start", "end",
-            (F.size(breaks) + 1).alias("line"),
-            (F.col("start") - F.coalesce(F.try_element_at(breaks, F.lit(-1)), F.lit(-1))).alias("column"),
+            (line + 1).alias("line"),
+            (F.col("start") - F.coalesce(F.get("_breaks", line - 1), F.lit(-1))).alias("column"),
             quote.alias("quote"), F.col("_title").alias("title"), F.col("_uri").alias("uri"),
         )
 
-    built = F.get(F.transform(F.array(before), citation), F.lit(0))
+    built = A.let(A.count_below(F.col("_breaks"), F.col("start")), citation)
     inside = F.col("start").between(0, F.length("_raw"))
     checked = F.when(inside, built).otherwise(F.raise_error(F.lit("offset outside the text")))
     return joined.withColumn("citation", F.when(F.col("_raw").isNotNull(), checked)).drop(
@@ -46,15 +44,47 @@ def cite(chunks: DataFrame, documents: DataFrame, quote_chars: int = 60) -> Data
 
 def _breaks(text: Column) -> Column:
     """Ascending offsets of the line breaks of a text."""
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("breaks"))
+    sums = A.running_sums(F.transform(F.split(text, "\n"), lambda line: F.length(line) + 1))
+    # The last line ends without a break.
+    return A.let(sums, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda x: x - 1))
 
-    def step(acc, line):
-        at = (acc["at"] + F.length(line) + 1).cast("int")
-        return F.struct(at.alias("at"), F.array_append(acc["breaks"], at).alias("breaks"))
 
-    # The last line ends without a break.
-    found = F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc["breaks"])
-    return F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
+def _quote(span: Column, quote_chars: int) -> Column:
+    short = F.concat(T.rstrip(F.substring(span, 1, quote_chars)), F.lit("..."))
+    return F.when(F.length(span) > quote_chars, short).otherwise(span)
+
+
+def cited_chunks(documents: DataFrame, size: int, strategy: str = "sentence", quote_chars: int = 60) -> DataFrame:
+    """Chunks with the ``citation`` that ``cite`` would give them, from one reading.
+
+    A chunk is cited while its document is at hand: nothing is joined, and no text
+    is read again. Only texts that normalization changes are cut for quotes; else
+    the chunk is its own span.
+    """
+
+    def cite_in(chunks: str, raw) -> Column:
+        def each(breaks):
+            def one(chunk):
+                start, end = raw(chunk["start"]), raw(chunk["end"])
+                changed = F.substring(F.col("_text"), start + 1, end - start)
+                span = F.when(F.col("_map").isNull(), chunk["text"]).otherwise(changed)
+
+                def citation(line):
+                    return F.struct(
+                        F.col("doc_id").alias("doc_id"), start.alias("start"), end.alias("end"),
+                        (line + 1).alias("line"),
+                        (start - F.coalesce(F.get(breaks, line - 1), F.lit(-1))).alias("column"),
+                        _quote(span, quote_chars).alias("quote"),
+                        F.col("_title").alias("title"), F.col("_uri").alias("uri"),
+                    )
+
+                return chunk.withField("citation", A.let(A.count_below(breaks, start), citation))
+
+            return F.transform(chunks, one)
+
+        return A.let(_breaks(F.col("_text")), each)
+
+    return chunk_documents(documents, size=size, strategy=strategy, cite=cite_in)
 
 
 def verify(chunks: DataFrame, documents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 
 
@@ -26,23 +27,23 @@ def with_table_chunks(frame: DataFrame, text: str, out: str, rows_per_chunk: int
     )
     # Lines with their offsets; blank lines carry no row.
     begin = F.length(whole) - F.length(T.lstrip(whole))
-    kind = "array<struct<start:int,end:int,line:string>>"
-    start = F.struct(begin.cast("int").alias("at"), F.array().cast(kind).alias("lines"))
-
-    def step(acc, line):
-        entry = F.struct(
-            acc["at"].alias("start"),
-            (acc["at"] + F.length(line)).cast("int").alias("end"),
-            line.alias("line"),
-        )
-        lines = F.when(T.strip(line) == "", acc["lines"]).otherwise(
-            F.concat(acc["lines"], F.array(entry))
-        )
-        return F.struct(
-            (acc["at"] + F.length(line) + 1).cast("int").alias("at"), lines.alias("lines")
-        )
-
-    lines = F.aggregate(F.split(T.strip(whole), "\n"), start, step, lambda acc: acc["lines"])
+
+    def placed(given, begin):
+        def entries(ends):
+            every = F.zip_with(
+                given, ends,
+                lambda line, end: F.struct(
+                    (begin + end - 1 - F.length(line)).cast("int").alias("start"),
+                    (begin + end - 1).cast("int").alias("end"),
+                    line.alias("line"),
+                ),
+            )
+            return F.filter(every, lambda entry: T.strip(entry["line"]) != "")
+
+        return A.let(A.running_sums(F.transform(given, lambda line: F.length(line) + 1)), entries)
+
+    split = F.struct(F.split(T.strip(whole), "\n").alias("lines"), begin.alias("begin"))
+    lines = A.let(split, lambda s: placed(s["lines"], s["begin"]))
     parts = F.struct(table.alias("table"), F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))).alias("rows"))
 
     def chunks(part):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import unicode as U
 from lodestone.operators import chunking as C
+from lodestone.operators import citations, structured
 from lodestone.sources import handbook as H
 from lodestone.sources import tables
 
@@ -201,3 +202,46 @@ def test_line_column(spark):
     assert [tuple(r["p"]) for r in rows] == [(1, 1), (2, 1), (2, 3)]
     with pytest.raises(Exception, match="outside the text"):
         frame.select(T.line_column(F.col("t"), F.lit(6))).collect()
+
+
+def test_long_texts_cost_in_proportion(spark):
+    """One text of 60,000 sentences: split, rejoined, chunked, cited, cut as a table."""
+    import time
+
+    n = 60_000
+    prose = " ".join(f"Sentence {i} is here.\n" if i % 3 == 0 else f"See fig. {i} now." for i in range(n))
+    table = "|a|b|\n|--|--|\n" + "\n".join(f"|{i}|x|" for i in range(n))
+    docs = H.text_documents(spark, prose).persist()
+    begun = time.perf_counter()
+    assert C.split_sentences(docs).count() == 100_000
+    assert C.split_sentences(docs, guarded=True).count() == n
+    last = citations.cited_chunks(docs, 200).orderBy(F.desc("start")).first()
+    assert last["end"] == len(prose) and last["citation"]["line"] == prose.count("\n", 0, last["start"]) + 1
+    cut = structured.with_table_chunks(H.text_documents(spark, table), "text", "c", 6)
+    assert cut.select(F.size("c")).first()[0] == n // 6
+    assert time.perf_counter() - begun < 60
+
+
+def test_blocks_of_a_fold_leave_the_chunks_alone(spark, monkeypatch):
+    corpus = H.documents(spark)
+    whole = [spans(C.build_index(corpus, size)) for size in (1, 40, 80, 320)]
+    monkeypatch.setattr(C, "BLOCK", 2)
+    assert [spans(C.build_index(corpus, size)) for size in (1, 40, 80, 320)] == whole
+
+
+def test_citations_of_one_reading(spark):
+    for docs in (H.documents(spark), H.multilingual_documents(spark)):
+        for strategy in ("sentence", "fixed"):
+            chunks = C.chunk_documents(docs, size=60, strategy=strategy)
+            key = lambda f: sorted((r["doc_id"], r["chunk_index"], tuple(r["citation"])) for r in f.collect())
+            assert key(citations.cited_chunks(docs, 60, strategy)) == key(citations.cite(chunks, docs))
+
+
+def test_scans(spark):
+    from lodestone.functions import arrays as A
+
+    rows = [([],), ([5],), ([1, 2, 3, 4, 5, 6, 7],), (list(range(33)),)]
+    frame = spark.createDataFrame(rows, "v array<int>")
+    for r in frame.select("v", A.running_sums(F.col("v")).alias("s"), *[A.count_below(F.col("v"), F.lit(x)).alias(f"b{x}") for x in (0, 3, 99)]).collect():
+        assert r["s"] == [sum(r["v"][: i + 1]) for i in range(len(r["v"]))]
+        assert [r[f"b{x}"] for x in (0, 3, 99)] == [sum(v < x for v in r["v"]) for x in (0, 3, 99)]

@@ -228,8 +228,36 @@ def test_containment_paths_agree(spark, sf, monkeypatch):
         if q["answer"] is not None and q["answer"] in t
     )
     assert got == expected
-    monkeypatch.setattr(containment, "GRID_ANSWER_BYTES", 5000)
     assert pairs(containment.containing(docs, both, ("doc_id",), limit=0)) == expected
+    # Pieces shorter than the answers, and a filter that lets nearly everything pass.
+    monkeypatch.setattr(containment, "PIECE_BYTES", 101)
+    monkeypatch.setattr(containment, "MOST_BITS", 64)
+    few = docs.where("length(text) < 3000")
+    got = pairs(containment.containing(few, both, ("doc_id",), limit=0))
+    assert got == [(q, d) for q, d in expected if len(texts[d]) < 3000]
+
+
+def test_containment_by_fingerprints_of_odd_texts(spark):
+    texts = [(1, "가나다 éa éa éa"), (2, None), (3, ""), (3, "éa"), (4, "a" * 300), (5, "ab" * 40 + "c")]
+    asked = [(10, "éa"), (11, "나"), (12, ""), (13, None), (14, "a" * 65), (15, "babab"), (15, "abc"), (16, "a" * 301), (17, "zzz")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    answers = spark.createDataFrame(asked, "query_id long, answer string")
+    for keep in (("doc_id",), ()):
+        for few in (answers, answers.where("query_id in (13, 17)"), answers.where("answer = ''"), answers.limit(0)):
+            one = containment.containing(docs, few, keep)
+            other = containment.containing(docs, few, keep, limit=0)
+            if not keep:
+                one, other = one.distinct(), other.distinct()
+            assert Counter(map(tuple, one.collect())) == Counter(map(tuple, other.collect()))
+        assert containment.containing(docs.limit(0), answers, keep, limit=0).count() == 0
+
+
+def test_only_candidates_leave_the_texts(spark, sf):
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    answers = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
+    plan = containment.containing(docs, answers, ("doc_id",), limit=0)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("MapInArrow look")[0]
+    assert "Join" in above and "_text" not in above and "text#" not in above
 
 
 # --- vectors ---------------------------------------------------------------
