@@ -93,7 +93,7 @@ def frequent_grams(rows: DataFrame, most: int) -> np.ndarray:
     """Grams that a sample of the documents has so often that all together exceed
     about ``most``, the most frequent ones first. They only go another way: any
     choice gives the same repeats."""
-    counted = rows.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= max(most // (2 * SAMPLE), 2))
+    counted = rows.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= max(most // SAMPLE, 2))
     found = counted.orderBy(F.desc("n"), "gram").limit(HOT_MOST).select("gram").collect()
     return np.sort(np.array([r["gram"] for r in found], np.int64).view(np.uint64))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, binary_rows, cut_out, keyed, repeated_anchors, row_hashes, runs_of
-from .common import saved, sent_if_small
+from .common import saved
 from .shingles import hashes_of, words_of
 from .suffixes import merged
 
@@ -328,8 +328,8 @@ def _frequent(matched: DataFrame, length: int) -> DataFrame:
     strings = matched.select("doc_id", "own", "text", "many").mapInArrow(
         cut, "doc_id long, own long, start long, string binary"
     )
-    again = saved(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "strings")
-    return strings.join(sent_if_small(again, length * WORD_BYTES + 64), "string").select("doc_id", "own", "start", (F.col("start") + length).alias("end"))
+    again = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    return strings.join(again, "string").select("doc_id", "own", "start", (F.col("start") + length).alias("end"))
 
 
 def removed(docs: DataFrame, length: int, partitions: int | None = None) -> DataFrame:
