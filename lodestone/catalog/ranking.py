@@ -96,6 +96,23 @@ def mixed_search(spark, sf_dir):
     return rounded(found, "score")
 
 
+@query(
+    S.with_(*ALL_SYSTEMS)
+    + " UNION ALL ".join(
+        f"""SELECT '{method}' AS method, round(avg(coalesce(r, 0)), 6) AS hit FROM questions
+        LEFT JOIN (SELECT query_id, max(rel) AS r FROM {S.judged(source, 3)} GROUP BY query_id) USING (query_id)"""
+        for method, source in RANKINGS.items()
+    )
+)
+def evaluate_hybrid(spark, sf_dir):
+    """Hit rate at 3 of every way to search."""
+    retriever, asked = _setup(spark, sf_dir)
+    rows = [
+        metrics.evaluate_hybrid(retriever, asked, 3, method=m).select(F.lit(m).alias("method"), "hit") for m in SYSTEMS
+    ]
+    return rounded(union(rows), "hit")
+
+
 @query(
     S.with_(
         *BASE,
@@ -356,6 +373,25 @@ def ablation_delta(spark, sf_dir):
     return rounded(rows.select("place", "mrr", "hit", "delta"), "mrr", "hit", "delta")
 
 
+def _labels():
+    """Names of the configurations of CONFIG_SQL, spelled out."""
+    best, plain = f"sentence({SIZE})", f"fixed({SIZE})"
+    return (f"{best} + sparse + rerank", f"{best} + sparse", f"{best} + dense + rerank", f"{plain} + sparse + rerank", f"{best} + sparse + rerank")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT {i} AS place, '{name}' AS label, round(hit, 6) AS hit FROM ({s})"
+        for i, (name, s) in enumerate(zip(_labels(), CONFIG_SQL))
+    )
+)
+def ablation_labels(spark, sf_dir):
+    """The same configurations by what they are called."""
+    runner = E.Runner(documents(spark, sf_dir), hold(questions(spark, sf_dir)), keep=hold)
+    rows = E.ablate(runner, BASELINE, ABLATED)
+    return rounded(rows.select("place", "label", "hit"), "hit")
+
+
 @query(
     "WITH v AS (SELECT "
     + ", ".join(

@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import chunking as C
 from ..operators import dense, lexical
 from ..operators.ann import IVFIndex, NSWIndex, recall_curve
 from ..operators.containment import containing
-from ..operators.evalsets import vocabulary_overlap
+from ..operators.evalsets import vocabulary_overlap, vocabulary_overlap_of_set
 from ..operators.postings import StoredBM25
 from ..plans import experiment as E
 from ..session import use_checkpoints
@@ -93,6 +95,38 @@ def bm25_budget(spark, sf_dir):
     return _hits(index.search_within_budget(questions(spark, sf_dir), 900))
 
 
+@query(
+    S.with_(
+        *BASE,
+        """words AS (SELECT position, doc_id, chunk_index, text, list_distinct(string_split(lower(text), ' ')) AS b FROM chunks),
+        scored AS (
+          SELECT query_id, position, doc_id, chunk_index, len(list_intersect(list_distinct(string_split(lower(query), ' ')), b)) / length(text) AS score
+          FROM questions CROSS JOIN words)""",
+    )
+    + """SELECT query_id, position, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, chunk_index) AS rank FROM scored)
+    WHERE rank <= 3"""
+)
+def retrieve_custom(spark, sf_dir):
+    """A scorer of the caller's own: shared words for each character of the chunk."""
+
+    def density(asked, text):
+        shared = F.array_intersect(F.split(F.lower(asked), " "), F.split(F.lower(text), " "))
+        return F.size(shared) / F.length(text)
+
+    return _hits(lexical.overlap(chunks(spark, sf_dir), density).search(questions(spark, sf_dir), 3))
+
+
+@query(
+    S.with_(*BASE, S.TERMS)
+    + "SELECT term, position, round(tf * 2.5 / (tf + 1.5), 6) AS saturated FROM tf WHERE tf > 1"
+)
+def saturation(spark, sf_dir):
+    """What repeats of a term are worth."""
+    rows = lexical.BM25(chunks(spark, sf_dir)).postings().where("tf > 1")
+    return rounded(rows.select("term", "position", T.saturation(F.col("tf")).alias("saturated")), "saturated")
+
+
 EVALUATED = """
 found AS (SELECT query_id, max(rel) AS rel, sum(length(text)) AS context FROM {ranked} GROUP BY query_id),
 whole AS (SELECT q.query_id, bool_or(contains(c.text, q.answer)) AS intact FROM questions q CROSS JOIN chunks c GROUP BY ALL)"""
@@ -183,6 +217,37 @@ def vocabulary_overlap_by_question(spark, sf_dir):
     return rounded(vocabulary_overlap(asked.join(homes, "query_id"), docs), "overlap")
 
 
+@query(
+    S.with_(
+        S.QUESTIONS,
+        "homes AS (SELECT query_id, query, answer, min(doc_id) AS doc_id FROM questions q JOIN documents d ON contains(d.text, q.answer) GROUP BY ALL)",
+        """lines AS (SELECT query_id, query, list_filter(string_split(text, chr(10)), lambda l: contains(l, answer))[1] AS line
+      FROM homes JOIN documents USING (doc_id))""",
+        f"""sets AS (SELECT query_id, line, list_distinct({S.tokens('query')}) AS a, list_distinct({S.tokens('line')}) AS b FROM lines)""",
+    )
+    + """SELECT round(coalesce(avg(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END), 0), 6) AS overlap
+    FROM sets WHERE line IS NOT NULL"""
+)
+def vocabulary_overlap_mean(spark, sf_dir):
+    asked, docs = questions(spark, sf_dir), documents(spark, sf_dir)
+    homes = containing(docs, asked, ("doc_id",)).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    return rounded(vocabulary_overlap_of_set(asked.join(homes, "query_id"), docs), "overlap")
+
+
+@query(
+    S.with_(S.DOCS, S.fixed_chunks("docs", 120))
+    + """SELECT doc_id, bool_or(contains(text, phrase)) AS inside FROM (
+      SELECT c.doc_id, c.text, substring(d.text, 101, 40) AS phrase FROM chunks c JOIN docs d USING (doc_id) WHERE length(d.text) >= 140)
+    GROUP BY doc_id"""
+)
+def boundary_phrase(spark, sf_dir):
+    """Whether a phrase across the first chunk boundary is inside any chunk."""
+    docs = documents(spark, sf_dir).where(F.length("text") >= 140)
+    cut = C.with_fixed_chunks(docs, "text", "chunks", 120)
+    phrase = F.substring("text", 101, 40)
+    return cut.select("doc_id", C.spans_a_boundary(F.col("chunks"), phrase).alias("inside"))
+
+
 # --- vectors ---------------------------------------------------------------
 
 UNIT = """
@@ -232,6 +297,12 @@ def knn_batch(spark, sf_dir):
     return _hits(store.search_batch(asked, 5), "id")
 
 
+@query(S.with_(UNIT, CENTRES, NEAREST) + "SELECT query_id, id, rank, round(score, 6) AS score FROM near WHERE rank <= 10")
+def knn_naive(spark, sf_dir):
+    """The same neighbours, coordinate by coordinate."""
+    return _hits(_store(spark, sf_dir).search_naive(_centres(spark, sf_dir), 10), "id")
+
+
 @query(
     S.with_(UNIT, CENTRES, NEAREST)
     + """SELECT CAST(query_id AS BIGINT) AS query_id, round(avg(CASE WHEN label = query_id THEN 1 ELSE 0 END), 6) AS purity
@@ -426,6 +497,19 @@ def dense_budget(spark, sf_dir):
     return _hits(index.search_within_budget(questions(spark, sf_dir), 900))
 
 
+@query(
+    S.with_(
+        *BASE, S.dense(), S.budgeted("dense", 900),
+        f"found AS (SELECT query_id, max(rel) AS rel, sum(length(text)) AS context FROM {S.judged('packed', 10**9)} GROUP BY query_id)",
+    )
+    + """SELECT round(avg(coalesce(rel, 0)), 6) AS hit, round(avg(coalesce(context, 0)), 6) AS context
+    FROM questions LEFT JOIN found USING (query_id)"""
+)
+def evaluate_dense(spark, sf_dir):
+    index = dense.DenseIndex(chunks(spark, sf_dir))
+    return rounded(E.evaluate_dense(index, questions(spark, sf_dir), 900), "hit", "context")
+
+
 @query(
     S.with_(S.DOCS, S.fixed_chunks("docs", 2500))
     + f"SELECT position, len({S.tokens('text')}) AS tokens FROM chunks WHERE len({S.tokens('text')}) > 256"

@@ -6,15 +6,18 @@ Every search returns ``(query_id, rank, position, score, *payload)``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import text as T
-from .blocks import Keep, select_best
+from .blocks import DECIMALS, Keep, select_best, top_k
 
 #: Stand-in term whose statistics are those of the whole collection.
 EVERYTHING = ""
@@ -166,6 +169,55 @@ class Overlap:
         return self._select(queries, Keep(budget=budget), payload, **options)
 
 
+class Scored:
+    """Retrieval by any scorer, a function of a query and a text column.
+
+    The scorer sees every pair: queries are sent to the chunks, in blocks if all of
+    them are too many, and each task keeps the best of its own chunks before any row
+    is shuffled. Ties go by document id, then chunk index.
+    """
+
+    def __init__(self, chunks: DataFrame, scorer):
+        self.scorer = scorer
+        self.items = chunks.withColumn("size", F.length("text"))
+
+    def _best(self, queries: DataFrame, k: int, payload, limit: int | None = None) -> DataFrame:
+        limit = session.BROADCAST_BYTES if limit is None else limit
+        asked = queries.select("query_id", F.col("query").alias("_query"))
+        size = F.octet_length(F.coalesce("_query", F.lit(""))) + 64
+        total, rows = asked.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1))).first()
+        blocks = max(min(-(-total // max(limit, 1)), rows), 1)
+        part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        columns = list(dict.fromkeys(["position", "doc_id", "chunk_index", "size", *payload]))
+        order = [F.round("score", DECIMALS).desc(), F.col("doc_id"), F.col("chunk_index")]
+        score = self.scorer(F.col("_query"), F.col("text")).cast("double").alias("score")
+        found = []
+        for block in range(blocks):
+            pairs = self.items.crossJoin(F.broadcast(asked.where(part == block)))
+            found.append(top_k(pairs.select("query_id", *columns, score), ["query_id"], order, k))
+        return reduce(lambda a, b: a.unionByName(b), found)
+
+    def search(self, queries, k: int = 3, payload=(), **options) -> DataFrame:
+        found = self._best(queries, k, payload, options.get("broadcast_limit"))
+        return found.select("query_id", "rank", "position", "score", *payload)
+
+    def search_within_budget(self, queries, budget: int = 600, payload=(), **options) -> DataFrame:
+        """The longest prefix of the ranking within ``budget`` characters; the best
+        chunk is returned even if it alone exceeds it."""
+        Keep(budget=budget)
+        shortest = self.items.agg(F.min("size")).first()[0] or 1
+        reach = budget // max(shortest, 1) + 2
+        found = self._best(queries, reach, payload, options.get("broadcast_limit"))
+        used = F.sum("size").over(W.partitionBy("query_id").orderBy("rank"))
+        packed = found.withColumn("_used", used).where((F.col("_used") <= budget) | (F.col("rank") == 1))
+        return packed.select("query_id", "rank", "position", "score", *payload)
+
+
+def overlap(chunks: DataFrame, scorer="coverage"):
+    """An index by one of the named overlap scorers or by a function of columns."""
+    return Scored(chunks, scorer) if callable(scorer) else Overlap(chunks, scorer)
+
+
 def score_coverage(query: Column, text: Column) -> Column:
     """Distinct query terms present in the text."""
     return F.size(F.array_intersect(T.tokens(query), T.tokens(text))).cast("double")

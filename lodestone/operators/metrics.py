@@ -124,6 +124,11 @@ def first_stage_recall(retriever, questions, depth: int, method: str = "sparse",
     return hit_rate(found, questions).select("hit")
 
 
+def evaluate_hybrid(retriever, questions, k: int = 3, **options) -> DataFrame:
+    """``(hit,)`` at ``k`` of one way to search; ``options`` are those of ``search``."""
+    return hit_rate(retriever.search(questions, k, **options), questions).select("hit")
+
+
 def evaluate_reranked(retriever, reranker, questions, depth=20, k=3, method="sparse", **options):
     found = retriever.search(questions, depth, method=method, **options)
     return hit_rate(reranker.rerank(questions, found, k), questions).select("hit")

@@ -324,8 +324,15 @@ def test_ivf(cloud, probes, tmp_path):
     assert recalls == sorted(recalls) and recalls[-1] == 1.0
     assert scanned == sorted(scanned) and scanned[-1] == 600
     before = ids(index.search(probes, 5, 2))
-    index.write(str(tmp_path / "ivf"))
-    assert ids(index.search(probes, 5, 2)) == before
+    gathered = ids(index.search_gathered(probes, 5, 2))
+    sizes = {r["list_id"]: r["members"] for r in index.list_sizes().collect()}
+    index.write(str(tmp_path / "ivf"), segment_bytes=20 * (4 * 16 + 16))
+    assert ids(index.search(probes, 5, 2)) == before == gathered == ids(index.search_gathered(probes, 5, 2))
+    parts = index.rows.groupBy("list_id").agg(F.max("segment").alias("last"), F.count("*").alias("n")).collect()
+    assert {r["list_id"]: r["n"] for r in parts} == sizes
+    assert all(r["last"] < -(-r["n"] // 20) for r in parts) and max(r["last"] for r in parts) > 0
+    again = IVFIndex(16, n_lists=8).read(index.rows.sparkSession, str(tmp_path / "ivf"))
+    assert ids(again.search(probes, 5, 2)) == before and np.allclose(again.centroids, index.centroids)
     with pytest.raises(ValueError):
         index.search(probes, 5, 0)
 
@@ -431,6 +438,23 @@ def test_postings_of_long_chunks_are_linear(spark):
     assert seconds(160_000) < 20
 
 
+def test_a_scorer_may_be_any_function_of_columns(spark, corpus, monkeypatch):
+    passages = H.questions(spark).select("query_id", "query")
+    named = lexical.Overlap(corpus, "coverage")
+    own = lexical.overlap(corpus, lexical.score_coverage)
+    key = lambda f: sorted((r["query_id"], r["rank"], str(r["position"]), r["score"], r["text"]) for r in f.collect())
+    for few in (None, 1000):
+        assert key(own.search(passages, 3, ("text",), broadcast_limit=few)) == key(named.search(passages, 3, ("text",)))
+        packed = own.search_within_budget(passages, 500, ("text",), broadcast_limit=few)
+        assert key(packed) == key(named.search_within_budget(passages, 500, ("text",)))
+    docs, asked = H.documents(spark), H.questions(spark)
+    columns = ["size", "hit", "context", "intact"]
+    rows = [E.sweep(docs, asked, (80, 160), scorer=s).select(*columns).orderBy("size").collect() for s in ("coverage", lexical.score_coverage)]
+    assert rows[0] == rows[1]
+    with pytest.raises(ValueError):
+        lexical.overlap(corpus, "unknown")
+
+
 def one_document(spark, doc_order, text):
     frame = spark.createDataFrame([(doc_order, text)], "doc_order long, text string")
     return frame.select(
