@@ -18,10 +18,14 @@ Vectors that are equal on the sphere are one class with a count. On vectors with
 no structure (a high dimension filled evenly) no bound between blocks helps, and
 the work is that of comparing all nodes.
 
-Defined cases: null vectors, zero vectors, vectors with null or non-finite
-components and vectors of another length than most link with nothing; repeated
-rows are copies of each other, a repeated vec_id gives one row for each of its
-rows; an empty table gives no rows; other columns are dropped.
+Vectors of different lengths have no cosine: cells hold vectors of one length, and
+only cells of one length are paired. A length that the sample missed is one cell
+without a centre.
+
+Defined cases: null vectors, zero vectors and vectors with null or non-finite
+components link with nothing, vectors of any length only with others of that length;
+repeated rows are copies of each other, a repeated vec_id gives one row for each of
+its rows; an empty table gives no rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -248,26 +252,33 @@ def near_duplicates(vectors: DataFrame, cosine: float) -> DataFrame:
     """``id, n_links, component_id`` of every row of ``(vec_id, embedding)``."""
     spark = vectors.sparkSession
     rows = saved(units(vectors), "units")
-    lengths = rows.where("unit is not null and id is not null").groupBy(F.length("unit").alias("n")).count()
-    usual = lengths.orderBy(F.col("count").desc(), "n").limit(1).collect()
-    width = usual[0]["n"] if usual else 0
-    valid = (F.length("unit") == width) & F.col("id").isNotNull()
+    valid = F.col("unit").isNotNull() & F.col("id").isNotNull()
     classes = rows.where(valid).groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     classes = saved(classes, "vector-classes")
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("unit").collect()
     if not sample:  # no vector that could link
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    points = np.frombuffer(b"".join(bytes(r["unit"]) for r in sample), np.float64)
-    top = top_cells(points.reshape(len(sample), -1), MAX_CELLS)
+    tops: dict[int, tuple[int, np.ndarray]] = {}  # bytes of a vector: first cell, centres
+    cells = 0
+    for size in sorted({len(r["unit"]) for r in sample}):
+        points = [bytes(r["unit"]) for r in sample if len(r["unit"]) == size]
+        centres = top_cells(np.frombuffer(b"".join(points), np.float64).reshape(len(points), -1), MAX_CELLS)
+        tops[size] = cells, centres
+        cells += len(centres)
 
     def assign(batches):
         for batch in batches:
-            x = _matrix(batch.column(2))
-            d = _gaps(x, top) if len(x) else np.empty((0, 1))
-            cell = d.argmin(1)
+            size = np.array([len(u) for u in batch.column(2).to_pylist()], np.int64)
+            cell, far = -size, np.full(len(size), 2.0)
+            for each in np.unique(size):
+                if int(each) in tops:
+                    first_cell, centres = tops[int(each)]
+                    at = np.flatnonzero(size == each)
+                    d = _gaps(_matrix(batch.column(2).take(pa.array(at))), centres)
+                    own = d.argmin(1)
+                    cell[at], far[at] = first_cell + own, d[np.arange(len(at)), own]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell, pa.int64()), pa.array(d[np.arange(len(x)), cell])],
-                [*batch.schema.names, "cell", "far"],
+                [*batch.columns, pa.array(cell, pa.int64()), pa.array(far)], [*batch.schema.names, "cell", "far"]
             )
 
     dealt = saved(
@@ -276,8 +287,9 @@ def near_duplicates(vectors: DataFrame, cosine: float) -> DataFrame:
         ),
         "cells",
     )
-    # One row per cell, MAX_CELLS at most.
+    # One row per cell: SAMPLE at most, and one for each length that the sample missed.
     held = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
+    size_of = {at + i: size for size, (at, centres) in tops.items() for i in range(len(centres))}
     blocks, first = [], 0
     for c in sorted(held, key=lambda r: r["cell"]):
         n = -(-c["n"] // BLOCK_ROWS)
@@ -286,11 +298,15 @@ def near_duplicates(vectors: DataFrame, cosine: float) -> DataFrame:
     reach = math.sqrt(2.0 - 2.0 * cosine)
     # Pairs of cells are few; Spark lists the pairs of their blocks, which grow with the rows.
     partners: list[tuple[int, int, int, int]] = []
-    for i, (cell, at, n, radius) in enumerate(blocks):
-        for other, start, m, far in blocks[i:]:
-            apart = float(_gaps(top[cell][None, :], top[other][None, :])[0, 0]) if other != cell else 0.0
-            if apart <= radius + far + reach + SLACK:
-                partners.append((at, at + n - 1, start, start + m - 1))
+    for cell, at, n, _ in blocks:
+        partners.append((at, at + n - 1, at, at + n - 1))
+    for size, (start_cell, centres) in tops.items():
+        own = [b for b in blocks if size_of.get(b[0]) == size]
+        apart = _gaps(centres, centres)
+        for i, (cell, at, n, radius) in enumerate(own):
+            for other, start, m, far in own[i + 1 :]:
+                if apart[cell - start_cell, other - start_cell] <= radius + far + reach + SLACK:
+                    partners.append((at, at + n - 1, start, start + m - 1))
     depth = 1
     while 0.5 ** (depth - 1) > reach / 8:
         depth += 1

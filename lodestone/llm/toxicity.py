@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Lengths of the n-grams in bytes, and slots they are hashed into (a power of two).
+#: Lengths of the n-grams in characters, and slots they are hashed into (a power of two).
 SHORTEST, LONGEST = 3, 6
 SLOT_BITS = 19
 #: Slots that become features, and training texts of each class that are fitted.
@@ -42,6 +42,7 @@ MIN_TEXTS = 3
 ROUNDS, RIDGE = 400, 2e-3
 FOLDS = 5
 
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _STEP = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
 
@@ -50,8 +51,8 @@ def slots(text: str | None) -> np.ndarray:
     """Slot of every n-gram of a text; A-Z lower-cased, white space runs as one space."""
     if not text:
         return np.empty(0, np.uint32)
-    data = b" " + b" ".join(text.encode("utf-8").lower().split()) + b" "
-    chars = np.frombuffer(data, np.uint8).astype(np.uint32) + np.uint32(1)
+    data = f" {' '.join(text.translate(_LOWER).split())} ".encode("utf-32-le", "surrogatepass")
+    chars = np.frombuffer(data, np.uint32) + np.uint32(1)
     out, rolled = [], chars
     for n in range(2, LONGEST + 1):
         if len(chars) < n:

@@ -252,6 +252,34 @@ def test_mix_prefers_by_affinity(spark):
     assert mean[0] > 3 * mean[2] > 0
 
 
+@pytest.mark.parametrize("seed", ["mix", "b", "c", "d", "e"])
+def test_mix_fills_behind_long_texts(spark, seed):
+    rng = np.random.default_rng(7)
+    rows = [(i, "a", int(n)) for i, n in enumerate(rng.integers(5, 40, 400))]
+    rows.append((1000, "a", sum(r[2] for r in rows)))  # half of its source
+    rows += [(2000 + i, "b", int(n)) for i, n in enumerate(rng.integers(1, 2000, 300))]
+    rows += [(3000 + i, "c", int(n)) for i, n in enumerate(rng.integers(5, 40, 100))]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(3)
+    got = mixing.mix(frame, seed=seed).groupBy("source").agg(
+        F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")
+    ).collect()
+    assert sum(r["n"] for r in got) == len(rows)
+    for r in got:
+        assert r["taken"] == pytest.approx(r["target"], rel=0.02)
+
+
+def test_mix_reshares_what_full_documents_cannot_take(spark):
+    rows = [(i, "a", 10, 50.0 if i < 40 else 1.0) for i in range(400)] + [(1000 + i, "b", 10, 1.0) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long, liked double")
+    out = mixing.mix(frame, (3, 1), affinity="liked").collect()
+    words = Counter()
+    for r in out:
+        words[r["source"]] += r["size"] * r["copies"]
+        assert r["copies"] == 3 or r["source"] != "a" or r["doc_id"] >= 40
+    for r in out:
+        assert words[r["source"]] == pytest.approx(r["target"], rel=0.01)
+
+
 # Tokens, records, packing ---------------------------------------------------
 @pytest.fixture(scope="module")
 def plain():
@@ -469,6 +497,26 @@ def test_cover_tree(spark, sf, monkeypatch, block):
     assert cover.near_duplicates(frame.limit(0), 0.9).count() == 0
 
 
+@pytest.mark.parametrize("sample", [2048, 40])
+def test_cover_tree_links_vectors_of_every_length(spark, monkeypatch, sample):
+    monkeypatch.setattr(cover, "SAMPLE", sample)
+    monkeypatch.setattr(cover, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(6)
+    sizes = [1] * 5 + [2] * 30 + [3] * 60 + [8] * 100
+    rows = [(i, [float(c) for c in rng.standard_normal(n)]) for i, n in enumerate(sizes)]
+    rows += [(500, [1.0, 0.0]), (501, [1.0, 0.0, 0.0]), (502, [2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found, n_links = [], Counter()
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[i + 1 :]:
+            if len(x) == len(y) and np.dot(x, y) / math.sqrt(np.dot(x, x) * np.dot(y, y)) >= 0.9:
+                found.append((a, b))
+                n_links.update((a, b))
+    expected = grouped([a for a, _ in rows], found)
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in cover.near_duplicates(frame, 0.9).collect()}
+    assert got == {a: (n_links[a], expected[a]) for a, _ in rows} and len(found) > 100
+
+
 def test_cover_tree_lists_no_block_pairs_on_the_driver(spark, monkeypatch):
     monkeypatch.setattr(cover, "BLOCK_ROWS", 3)
     monkeypatch.setattr(cover, "MAX_CELLS", 4)
