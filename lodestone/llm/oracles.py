@@ -4,7 +4,7 @@ Written from the contracts alone: patterns and constants are spelled out here.
 """
 
 MIX = r"""
-WITH sizes AS (
+WITH RECURSIVE sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents),
 sources AS (
@@ -32,18 +32,41 @@ parts AS (
 ranks AS (
   SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS rank,
          target - sum(size * whole) OVER (PARTITION BY source) AS budget FROM parts),
-ordered AS (
-  SELECT *, row_number() OVER o AS nth, p > 0 AND sum(size) OVER o <= budget AS fits
-  FROM ranks
-  WINDOW o AS (PARTITION BY source, p > 0 ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-gaps AS (SELECT *, budget - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM ordered),
-ends AS (
-  SELECT *, CASE WHEN p > 0 AND NOT fits AND abs(size - gap) < gap THEN
-           row_number() OVER (PARTITION BY source, p > 0 AND NOT fits AND abs(size - gap) < gap
-                              ORDER BY abs(size - gap), rank, doc_id) = 1 ELSE false END AS last
-  FROM gaps)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN fits OR last THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM ends
+open AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS nr,
+         budget - sum(CASE WHEN size > budget / 32 THEN 0 ELSE size END) OVER (PARTITION BY source) AS need
+  FROM ranks WHERE p > 0),
+longest AS (
+  SELECT *, size > budget / 32 AND size <= budget AS turn FROM open),
+placed AS (
+  SELECT *, sum(CASE WHEN turn THEN size ELSE 0 END)
+            OVER (PARTITION BY source ORDER BY rank, doc_id, size, nr ROWS UNBOUNDED PRECEDING) AS up_to
+  FROM longest),
+passes AS (
+  SELECT 0 AS n, nr, doc_id, source, size, target, rank, budget,
+         turn AND up_to <= budget AND (u <= p OR up_to - size < need) AS taken
+  FROM placed
+  UNION ALL
+  SELECT n + 1, nr, doc_id, source, size, target, rank, budget, taken OR (turn AND up_to <= gap)
+  FROM (
+    SELECT *, bool_or(turn) OVER () AS more,
+           sum(CASE WHEN turn THEN size ELSE 0 END)
+           OVER (PARTITION BY source ORDER BY rank, doc_id, size, nr ROWS UNBOUNDED PRECEDING) AS up_to
+    FROM (
+      SELECT *, NOT taken AND size <= gap AND (n = 0 OR gap > 0.001 * target) AS turn
+      FROM (SELECT *, budget - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM passes)))
+  WHERE more),
+finished AS (
+  SELECT *, budget - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap
+  FROM passes WHERE n = (SELECT max(n) FROM passes)),
+lasts AS (
+  SELECT nr, row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), rank, doc_id, nr) = 1 AS last
+  FROM finished WHERE NOT taken AND abs(size - gap) < gap)
+SELECT o.doc_id, o.size, o.source_size, o.target,
+       (o.size * (o.whole + CASE WHEN f.taken OR coalesce(l.last, false) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM open o JOIN finished f ON f.nr = o.nr LEFT JOIN lasts l ON l.nr = o.nr
+UNION ALL
+SELECT doc_id, size, source_size, target, (size * whole)::BIGINT FROM ranks WHERE NOT p > 0
 """
 
 COVER = """
