@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
 from ..functions import arrays as A
+from ..functions import cutting
 from ..functions import text as T
 from ..functions import unicode as U
 
@@ -33,10 +34,6 @@ ABBREVIATIONS = (
     "jul.", "aug.", "sep.", "sept.", "oct.", "nov.", "dec.",
 )
 
-#: Pieces of a text that are folded at once.
-BLOCK = 512
-_SPANS = "array<struct<start:int,end:int,first:int,last:int>>"
-
 
 def check_fixed(size: int, overlap: int = 0) -> None:
     if size < 1:
@@ -74,75 +71,6 @@ def _span(start: Column, end: Column, first: Column, last: Column) -> Column:
     )
 
 
-def _packed(measured: Column, max_chars: int) -> Column:
-    """Greedy packing of sentences as a fold over the measured pieces.
-
-    The state of a fold is copied at every step, with the spans found so far. So a
-    long text is folded block by block: an inner fold begins without spans, and only
-    the outer one, of few steps, carries them all.
-    """
-    nothing = F.array().cast(_SPANS)
-    no_int = F.lit(None).cast("int")
-
-    def state(offset, start, end, first, last, out):
-        return F.struct(
-            offset.cast("int").alias("offset"),
-            start.cast("int").alias("start"),
-            end.cast("int").alias("end"),
-            first.cast("int").alias("first"),
-            last.cast("int").alias("last"),
-            out.alias("out"),
-        )
-
-    def step(acc, piece):
-        start = acc["offset"] + piece["lead"]
-        end = start + piece["body"]
-        blank = piece["body"] == 0
-        pending = acc["start"].isNotNull()
-        full = ~blank & pending & (end - acc["start"] > max_chars)
-        oversized = ~blank & (piece["body"] > max_chars)
-        opens = ~blank & (full | ~pending)
-        first_start = F.when(opens, start).otherwise(acc["start"])
-        first_piece = F.when(opens, piece["i"]).otherwise(acc["first"])
-        flushed = F.when(
-            full, F.array(_span(acc["start"], acc["end"], acc["first"], acc["last"]))
-        ).otherwise(nothing)
-        closed = F.when(
-            oversized, F.array(_span(first_start, end, first_piece, piece["i"]))
-        ).otherwise(nothing)
-        out = F.when(full | oversized, F.concat(acc["out"], flushed, closed)).otherwise(
-            acc["out"]
-        )
-        return state(
-            acc["offset"] + piece["n"],
-            F.when(oversized, no_int).otherwise(first_start),
-            F.when(oversized, no_int).otherwise(F.when(blank, acc["end"]).otherwise(end)),
-            F.when(oversized, no_int).otherwise(first_piece),
-            F.when(oversized, no_int).otherwise(F.when(blank, acc["last"]).otherwise(piece["i"])),
-            out,
-        )
-
-    def block_step(acc, block):
-        fields = [acc[name] for name in ("offset", "start", "end", "first", "last")]
-        folded = F.aggregate(block, state(*fields, nothing), step)
-        return A.let(
-            folded,
-            lambda new: state(
-                new["offset"], new["start"], new["end"], new["first"], new["last"],
-                F.concat(acc["out"], new["out"]),
-            ),
-        )
-
-    def finish(acc):
-        rest = F.array(_span(acc["start"], acc["end"], acc["first"], acc["last"]))
-        return F.when(acc["start"].isNotNull(), F.concat(acc["out"], rest)).otherwise(acc["out"])
-
-    start_state = state(F.lit(0), no_int, no_int, no_int, no_int, nothing)
-    begins = F.sequence(F.lit(0), F.greatest(F.size(measured) - 1, F.lit(0)), F.lit(BLOCK))
-    blocks = F.transform(begins, lambda at: F.slice(measured, at + 1, F.lit(BLOCK)))
-    return F.aggregate(blocks, start_state, block_step, finish)
-
-
 def _sentence_spans(measured: Column) -> Column:
     """Every piece that is not blank, by running sums of the lengths."""
 
@@ -178,7 +106,7 @@ def with_sentence_chunks(frame: DataFrame, text: str, out: str, max_chars: int)
     """Add ``out``: array of chunks holding whole sentences up to ``max_chars``."""
     if max_chars < 1:
         raise ValueError(f"max_chars must be at least 1, got {max_chars}")
-    return _with_spans(frame, text, out, lambda _, measured: _packed(measured, max_chars))
+    return frame.withColumn(out, cutting.chunks(F.col(text), "sentence", max_chars))
 
 
 def with_sentences(frame: DataFrame, text: str, out: str) -> DataFrame:
@@ -273,7 +201,7 @@ def chunk_documents(
     overlap: int = 0,
     strategy: str = "fixed",
     mapped: bool = True,
-    cite: Callable[[str, Callable[[Column], Column]], Column] | None = None,
+    cite: Callable[[str], Column] | None = None,
     **metadata,
 ) -> DataFrame:
     """Chunk rows whose offsets point into the raw document text.
@@ -286,31 +214,20 @@ def chunk_documents(
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; expected fixed or sentence")
-    more = [F.col(c).alias(f"_{c}") for c in ("text", "title", "uri") if cite]
-    source = documents.select(
-        "doc_id", "doc_order", "metadata", "text", *more, U.normalized_with_map(F.col("text")).alias("_nfc")
-    ).select(
-        "doc_id",
-        "doc_order",
-        "metadata",
-        *[c for c in ("_text", "_title", "_uri") if cite],
-        F.coalesce(F.col("_nfc.norm"), F.col("text")).alias("_norm"),
-        F.col("_nfc.map").alias("_map"),
-    )
     if strategy == "fixed":
-        chunked = with_fixed_chunks(source, "_norm", "_chunks", size, overlap)
-    else:
-        chunked = with_sentence_chunks(source, "_norm", "_chunks", size)
-    def raw(offset: Column) -> Column:
-        return F.coalesce(F.get(F.col("_map"), offset), offset) if mapped else offset
-
+        check_fixed(size, overlap)
+    elif size < 1:
+        raise ValueError(f"max_chars must be at least 1, got {size}")
+    cut = cutting.chunks(F.col("text"), strategy, size, overlap, form="NFC", mapped=mapped)
+    more = [F.col(c).alias(f"_{c}") for c in ("text", "title", "uri") if cite]
+    chunked = documents.select("doc_id", "doc_order", "metadata", *more, cut.alias("_chunks"))
     if cite:
-        chunked = chunked.withColumn("_chunks", cite("_chunks", raw))
+        chunked = chunked.withColumn("_chunks", cite("_chunks"))
     # The outer form plus a filter: with plain inline the optimizer infers a size
     # filter and computes the chunks twice.
     parts = isinstance(documents.schema["doc_order"].dataType, TT.ArrayType)
     rows = chunked.select(
-        "doc_id", "doc_order", "metadata", "_map", F.inline_outer("_chunks")
+        "doc_id", "doc_order", "metadata", F.inline_outer("_chunks")
     ).where(F.col("chunk_index").isNotNull())
     merged = F.col("metadata")
     if metadata:
@@ -324,8 +241,8 @@ def chunk_documents(
         "chunk_index",
         placed(F.col("doc_order"), F.col("chunk_index"), parts).alias("position"),
         "text",
-        raw(F.col("start")).alias("start"),
-        raw(F.col("end")).alias("end"),
+        "start",
+        "end",
         merged.alias("metadata"),
         *(["citation"] if cite else []),
     )

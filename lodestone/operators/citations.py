@@ -58,16 +58,16 @@ def cited_chunks(documents: DataFrame, size: int, strategy: str = "sentence", qu
     """Chunks with the ``citation`` that ``cite`` would give them, from one reading.
 
     A chunk is cited while its document is at hand: nothing is joined, and no text
-    is read again. Only texts that normalization changes are cut for quotes; else
+    is read again. Only texts that normalization may change are cut for quotes; else
     the chunk is its own span.
     """
 
-    def cite_in(chunks: str, raw) -> Column:
+    def cite_in(chunks: str) -> Column:
         def each(breaks):
             def one(chunk):
-                start, end = raw(chunk["start"]), raw(chunk["end"])
+                start, end = chunk["start"], chunk["end"]
                 changed = F.substring(F.col("_text"), start + 1, end - start)
-                span = F.when(F.col("_map").isNull(), chunk["text"]).otherwise(changed)
+                span = F.when(U.may_change(F.col("_text")), changed).otherwise(chunk["text"])
 
                 def citation(line):
                     return F.struct(
