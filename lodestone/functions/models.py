@@ -18,11 +18,21 @@ import re
 import numpy as np
 
 TOKEN = re.compile("[0-9a-z가-힣:,.]+")
+#: Words whose places an embedder remembers from batch to batch, about.
+KNOWN_WORDS = 1 << 17
 SENTENCE_GAP = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 
 
+HANGUL = re.compile("[가-힣]")
+#: Bytes of a token stay; all others, those of further letters too, become blanks.
+_BLANKED = bytes(b if b < 128 and TOKEN.match(chr(b)) else 32 for b in range(256))
+
+
 def words(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    lowered = text.lower()
+    if lowered.isascii() or not HANGUL.search(lowered):
+        return lowered.encode("utf-8", "replace").translate(_BLANKED).decode("ascii").split()
+    return TOKEN.findall(lowered)
 
 
 class HashingEmbedder:
@@ -34,25 +44,32 @@ class HashingEmbedder:
 
     def __init__(self, dimension: int = 64, token_limit: int = 256):
         self.dimension, self.token_limit = dimension, token_limit
+        self._known: dict[str, int] = {}
 
     def count_tokens(self, texts: list[str]) -> list[int]:
         return [len(words(text)) for text in texts]
 
+    def _place(self, word: str) -> int:
+        """Twice the bucket of a word, and one more if its sign is negative."""
+        digest = hashlib.md5(word.encode()).hexdigest()
+        return int(digest[:7], 16) % self.dimension * 2 + int(digest[7], 16) % 2
+
     def encode(self, texts: list[str]) -> np.ndarray:
-        vectors = np.zeros((len(texts), self.dimension))
-        known: dict[str, tuple[int, int]] = {}
-        for row, text in enumerate(texts):
+        if len(self._known) > KNOWN_WORDS:
+            self._known.clear()
+        known, cells, ends = self._known, [], [0]
+        for text in texts:
             for word in words(text):
                 place = known.get(word)
                 if place is None:
-                    digest = hashlib.md5(word.encode()).hexdigest()
-                    place = (
-                        int(digest[:7], 16) % self.dimension,
-                        1 if int(digest[7], 16) % 2 == 0 else -1,
-                    )
-                    known[word] = place
-                vectors[row, place[0]] += place[1]
-        return vectors
+                    place = known[word] = self._place(word)
+                cells.append(place)
+            ends.append(len(cells))
+        signed = 2 * self.dimension
+        rows = np.repeat(np.arange(len(texts)), np.diff(ends))
+        counts = np.bincount(rows * signed + np.array(cells, dtype=np.int64), minlength=len(texts) * signed)
+        counts = counts.reshape(len(texts), self.dimension, 2)
+        return (counts[:, :, 0] - counts[:, :, 1]).astype(float)
 
 
 class OverlapPairScorer:

@@ -6,30 +6,36 @@ Every search returns ``(query_id, rank, position, score, *payload)``.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import text as T
-from .blocks import DECIMALS, Keep, select_best, top_k
+from ..functions.models import words
+from .blocks import LEAST, Keep, select_best
+from .dense import matrix_of
 
 #: Stand-in term whose statistics are those of the whole collection.
 EVERYTHING = ""
+#: Scores of a caller's scorer that one row of a chunk holds, about.
+SCORES_PER_ROW = 512
+#: What stands for a score that is not a number; LEAST stands for none.
+MOST = -LEAST
 
 
 class TermKernel:
-    """Scores token lists against weighted query terms."""
+    """Scores texts, or token lists of the caller's tokenizer, against weighted query
+    terms. Texts are cut into tokens where they are scored."""
 
-    columns = ("tokens",)
-
-    def __init__(self, weigh: str, k1: float = 1.5, b: float = 0.75):
+    def __init__(self, weigh: str, k1: float = 1.5, b: float = 0.75, tokenizer=T.tokens):
         self.weigh, self.k1, self.b = weigh, k1, b
+        self.columns = ("text",) if tokenizer is T.tokens else ("tokens",)
 
     def prepare(self, block: pa.Table):
         terms = block.column("terms").combine_chunks()
@@ -67,6 +73,8 @@ class TermKernel:
         return matrix
 
     def load(self, batch: pa.Table) -> pa.ListArray:
+        if self.columns == ("text",):
+            return _token_lists(batch.column("text").to_pylist())
         tokens = batch.column("tokens").combine_chunks()
         return pa.concat_arrays(tokens.chunks) if isinstance(tokens, pa.ChunkedArray) else tokens
 
@@ -95,6 +103,16 @@ class TermKernel:
         return present @ self._rows(triples, active)
 
 
+def _token_lists(texts: list) -> pa.ListArray:
+    ends, found = [0], []
+    for text in texts:
+        if text is not None:
+            found += words(text)
+        ends.append(len(found))
+    absent = pa.array([text is None for text in texts], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.string()), mask=absent)
+
+
 def _scored_items(chunks: DataFrame, tokenizer) -> DataFrame:
     return chunks.withColumn("tokens", tokenizer(F.col("text"))).withColumn(
         "size", F.length("text")
@@ -156,7 +174,7 @@ class Overlap:
 
     def _select(self, queries, keep, payload, **options):
         return select_best(
-            self.items, self._terms(queries), TermKernel(self.scorer), keep,
+            self.items, self._terms(queries), TermKernel(self.scorer, tokenizer=self.tokenizer), keep,
             order=("doc_id", "chunk_index"), payload=("position", *payload), query_size=_term_bytes(), **options,
         )
 
@@ -169,53 +187,83 @@ class Overlap:
         return self._select(queries, Keep(budget=budget), payload, **options)
 
 
+class _GivenScores:
+    """Scores that the items bring along, one for each query of a block."""
+
+    columns = ("scores",)
+
+    def prepare(self, block: pa.Table) -> np.ndarray:
+        return block.column("place").to_numpy()
+
+    def load(self, batch: pa.Table) -> np.ndarray:
+        scores = matrix_of(batch.column("scores")) if pc.sum(pc.list_value_length(batch.column("scores"))).as_py() else None
+        return np.zeros((batch.num_rows, 0)) if scores is None else scores
+
+    def score(self, state: np.ndarray, loaded: np.ndarray) -> np.ndarray:
+        return loaded[:, state]
+
+
 class Scored:
     """Retrieval by any scorer, a function of a query and a text column.
 
     The scorer sees every pair: queries are sent to the chunks, in blocks if all of
-    them are too many, and each task keeps the best of its own chunks before any row
-    is shuffled. Ties go by document id, then chunk index.
+    them are too many, and a chunk is one row with its scores for a block. Each task
+    keeps the best of its own chunks before any row is shuffled. ``prepare``, a
+    function of a text column, is applied once to every query and every text; the
+    scorer then gets what it made of them. Ties go by document id, then chunk index;
+    pairs without a score come last.
     """
 
-    def __init__(self, chunks: DataFrame, scorer):
-        self.scorer = scorer
+    def __init__(self, chunks: DataFrame, scorer, prepare=None):
+        self.scorer, self.prepare = scorer, prepare or (lambda text: text)
         self.items = chunks.withColumn("size", F.length("text"))
 
-    def _best(self, queries: DataFrame, k: int, payload, limit: int | None = None) -> DataFrame:
-        limit = session.BROADCAST_BYTES if limit is None else limit
-        asked = queries.select("query_id", F.col("query").alias("_query"))
-        size = F.octet_length(F.coalesce("_query", F.lit(""))) + 64
+    def _select(self, queries, keep: Keep, payload, broadcast_limit: int | None = None) -> DataFrame:
+        limit = session.BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
+        asked = queries.select("query_id", F.col("query").alias("text"))
+        size = F.octet_length(F.coalesce("text", F.lit(""))) + 64
         total, rows = asked.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1))).first()
-        blocks = max(min(-(-total // max(limit, 1)), rows), 1)
+        blocks = max(min(-(-total // max(limit, 1)), rows), -(-rows // SCORES_PER_ROW), 1)
         part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        columns = list(dict.fromkeys(["position", "doc_id", "chunk_index", "size", *payload]))
-        order = [F.round("score", DECIMALS).desc(), F.col("doc_id"), F.col("chunk_index")]
-        score = self.scorer(F.col("_query"), F.col("text")).cast("double").alias("score")
+        items = self.items.withColumn("_prepared", self.prepare(F.col("text")))
+
+        def score(query: Column) -> Column:
+            value = self.scorer(query, F.col("_prepared")).cast("double")
+            return F.coalesce(F.when(F.isnan(value), MOST).otherwise(value), F.lit(LEAST))
+
         found = []
         for block in range(blocks):
-            pairs = self.items.crossJoin(F.broadcast(asked.where(part == block)))
-            found.append(top_k(pairs.select("query_id", *columns, score), ["query_id"], order, k))
-        return reduce(lambda a, b: a.unionByName(b), found)
+            # One row: a total order of the block, so that places are the same again.
+            row = asked.where(part == block).agg(F.sort_array(F.collect_list(F.struct("query_id", "text"))).alias("all"))
+            spelled = row.select(F.transform("all", lambda q: F.struct(self.prepare(q["text"]).alias("query"))).alias("_asked"))
+            scores = F.transform("_asked", lambda q: score(q["query"]))
+            scored = items.crossJoin(F.broadcast(spelled)).withColumn("scores", scores)
+            places = row.select(F.posexplode("all").alias("place", "q")).select("place", "q.query_id")
+            found.append(
+                select_best(
+                    scored, places, _GivenScores(), keep, order=("doc_id", "chunk_index"), payload=("position", *payload)
+                )
+            )
+        # A query is in one block.
+        whole = reduce(lambda a, b: a.unionByName(b), found)
+        value = F.when(F.col("score") == MOST, float("nan")).when(F.col("score") != LEAST, F.col("score"))
+        return whole.withColumn("score", value)
 
     def search(self, queries, k: int = 3, payload=(), **options) -> DataFrame:
-        found = self._best(queries, k, payload, options.get("broadcast_limit"))
+        found = self._select(queries, Keep(k=k), payload, **options)
         return found.select("query_id", "rank", "position", "score", *payload)
 
     def search_within_budget(self, queries, budget: int = 600, payload=(), **options) -> DataFrame:
         """The longest prefix of the ranking within ``budget`` characters; the best
         chunk is returned even if it alone exceeds it."""
-        Keep(budget=budget)
-        shortest = self.items.agg(F.min("size")).first()[0] or 1
-        reach = budget // max(shortest, 1) + 2
-        found = self._best(queries, reach, payload, options.get("broadcast_limit"))
-        used = F.sum("size").over(W.partitionBy("query_id").orderBy("rank"))
-        packed = found.withColumn("_used", used).where((F.col("_used") <= budget) | (F.col("rank") == 1))
-        return packed.select("query_id", "rank", "position", "score", *payload)
+        found = self._select(queries, Keep(budget=budget), payload, **options)
+        return found.select("query_id", "rank", "position", "score", *payload)
 
 
-def overlap(chunks: DataFrame, scorer="coverage"):
-    """An index by one of the named overlap scorers or by a function of columns."""
-    return Scored(chunks, scorer) if callable(scorer) else Overlap(chunks, scorer)
+def overlap(chunks: DataFrame, scorer="coverage", prepare=None):
+    """An index by one of the named overlap scorers or by a function of columns, of
+    what ``prepare`` makes of them if that is given."""
+    return Scored(chunks, scorer, prepare) if callable(scorer) else Overlap(chunks, scorer)
 
 
 def score_coverage(query: Column, text: Column) -> Column:
@@ -258,13 +306,38 @@ class BM25:
         and their summed length. Each task adds up its own terms first. With
         ``wanted`` only its terms are counted; if they are few, they are sent to the
         chunks, and no other term leaves its task."""
-        words = F.array_append(F.array_distinct("tokens"), F.lit(EVERYTHING))
-        rows = self.items.select(F.explode(words).alias("term"), F.size("tokens").alias("dl"))
-        if wanted is not None and session.fits_broadcast(wanted, F.octet_length("term") + 32):
+        few = wanted is not None and session.fits_broadcast(wanted, F.octet_length("term") + 32)
+        if few and self.tokenizer is T.tokens:
+            return self._counted_in_tasks(wanted)
+        spelled = F.array_append(F.array_distinct("tokens"), F.lit(EVERYTHING))
+        rows = self.items.select(F.explode(spelled).alias("term"), F.size("tokens").alias("dl"))
+        if few:
             rows = rows.join(F.broadcast(wanted), "term", "left_semi")
         total = F.sum(F.when(F.col("term") == EVERYTHING, F.col("dl")))
         return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), total.alias("dl"))
 
+    def _counted_in_tasks(self, wanted: DataFrame) -> DataFrame:
+        """``term_stats`` of a few terms: a task reads its texts and emits one row per
+        term that it saw."""
+        shared = self.items.sparkSession.sparkContext.broadcast({row["term"] for row in wanted.collect()})
+
+        def count(batches):
+            asked, seen, chunks, length = shared.value, Counter(), 0, 0
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    if text is not None:
+                        found = words(text)
+                        chunks, length = chunks + 1, length + len(found)
+                        seen.update(asked.intersection(found))
+            if chunks and EVERYTHING in asked:
+                seen[EVERYTHING] = chunks
+            sums = [length if term == EVERYTHING else None for term in seen]
+            columns = [pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64()), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "df", "dl"])
+
+        parts = self.items.select("text").mapInArrow(count, "term string, df long, dl long")
+        return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
+
     def document_frequency(self) -> DataFrame:
         return self.term_stats().where(F.col("term") != EVERYTHING).select("term", "df")
 
@@ -293,7 +366,7 @@ class BM25:
     def _select(self, queries, keep, payload, **options):
         terms = self.query_terms(queries)
         return select_best(
-            self.items, terms, TermKernel("bm25", self.k1, self.b), keep,
+            self.items, terms, TermKernel("bm25", self.k1, self.b, self.tokenizer), keep,
             payload=tuple(payload), query_size=_term_bytes(), **options,
         )
 
