@@ -59,14 +59,14 @@ def fixed_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return [(i * stride, min(i * stride + size, len(text))) for i in range(last + 1 if text else 0)]
 
 
-def _steps(texts: pa.Array) -> Iterator[list]:
+def _steps(texts: pa.Array, most: int = TEXTS_PER_STEP) -> Iterator[list]:
     """The texts in lists of a bounded number of them and, but for the last of a list,
     of characters."""
     step, chars = [], 0
     for value in texts:
         step.append(value.as_py())
         chars += len(step[-1] or "")
-        if len(step) >= TEXTS_PER_STEP or chars >= CHARS_PER_STEP:
+        if len(step) >= most or chars >= CHARS_PER_STEP:
             yield step
             step, chars = [], 0
     if step or not len(texts):
@@ -95,7 +95,8 @@ def _cut(texts: list, spans_of, form: str | None, mapped: bool) -> pa.Array:
 
 
 def chunks(
-    text: Column, strategy: str, size: int, overlap: int = 0, form: str | None = None, mapped: bool = True
+    text: Column, strategy: str, size: int, overlap: int = 0, form: str | None = None, mapped: bool = True,
+    step: int = TEXTS_PER_STEP,
 ) -> Column:
     """The chunks of a text, of its copy in ``form`` if that is given; offsets then
     point into the text as it was, unless ``mapped`` is false."""
@@ -106,7 +107,7 @@ def chunks(
     @F.arrow_udf(CHUNKS)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            for step in _steps(texts):
-                yield _cut(step, spans_of, form, mapped)
+            for part in _steps(texts, step):
+                yield _cut(part, spans_of, form, mapped)
 
     return cut(text)

@@ -35,6 +35,10 @@ ABBREVIATIONS = (
 )
 
 
+#: Texts that are cut at once.
+BLOCK = cutting.TEXTS_PER_STEP
+
+
 def check_fixed(size: int, overlap: int = 0) -> None:
     if size < 1:
         raise ValueError(f"size must be at least 1, got {size}")
@@ -106,7 +110,7 @@ def with_sentence_chunks(frame: DataFrame, text: str, out: str, max_chars: int)
     """Add ``out``: array of chunks holding whole sentences up to ``max_chars``."""
     if max_chars < 1:
         raise ValueError(f"max_chars must be at least 1, got {max_chars}")
-    return frame.withColumn(out, cutting.chunks(F.col(text), "sentence", max_chars))
+    return frame.withColumn(out, cutting.chunks(F.col(text), "sentence", max_chars, step=BLOCK))
 
 
 def with_sentences(frame: DataFrame, text: str, out: str) -> DataFrame:
@@ -218,7 +222,7 @@ def chunk_documents(
         check_fixed(size, overlap)
     elif size < 1:
         raise ValueError(f"max_chars must be at least 1, got {size}")
-    cut = cutting.chunks(F.col("text"), strategy, size, overlap, form="NFC", mapped=mapped)
+    cut = cutting.chunks(F.col("text"), strategy, size, overlap, form="NFC", mapped=mapped, step=BLOCK)
     more = [F.col(c).alias(f"_{c}") for c in ("text", "title", "uri") if cite]
     chunked = documents.select("doc_id", "doc_order", "metadata", *more, cut.alias("_chunks"))
     if cite:

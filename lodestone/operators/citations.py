@@ -63,11 +63,11 @@ def cited_chunks(documents: DataFrame, size: int, strategy: str = "sentence", qu
     """
 
     def cite_in(chunks: str) -> Column:
-        def each(breaks):
+        def each(breaks, moved):
             def one(chunk):
                 start, end = chunk["start"], chunk["end"]
                 changed = F.substring(F.col("_text"), start + 1, end - start)
-                span = F.when(U.may_change(F.col("_text")), changed).otherwise(chunk["text"])
+                span = F.when(moved, changed).otherwise(chunk["text"])
 
                 def citation(line):
                     return F.struct(
@@ -82,7 +82,9 @@ def cited_chunks(documents: DataFrame, size: int, strategy: str = "sentence", qu
 
             return F.transform(chunks, one)
 
-        return A.let(_breaks(F.col("_text")), each)
+        # Both are found once a text, not once a chunk.
+        moved = U.may_change(F.col("_text"))
+        return A.let(moved, lambda m: A.let(_breaks(F.col("_text")), lambda breaks: each(breaks, m)))
 
     return chunk_documents(documents, size=size, strategy=strategy, cite=cite_in)
 
