@@ -24,9 +24,14 @@ RIGHT = f"contains({S.normalized('answer_text')}, {S.normalized('answer')})"
 DECLINED = "contains(lower(answer_text), 'not stated')"
 
 
-def _setup(spark, sf_dir):
+def _read(spark, sf_dir):
+    """What the steps of a query read of the chunks, cut once."""
+    return hold(chunks(spark, sf_dir).select("position", *PAYLOAD))
+
+
+def _setup(spark, sf_dir, read=None):
     asked = hold(questions(spark, sf_dir))
-    index = lexical.BM25(chunks(spark, sf_dir))
+    index = lexical.BM25(_read(spark, sf_dir) if read is None else read)
     return hold(index.search(asked, K, payload=PAYLOAD)), asked, answering.Generator()
 
 
@@ -62,10 +67,9 @@ forced AS (
 )"""
 
 
-def _gold(spark, sf_dir, asked):
+def _gold(read, asked):
     """The first chunk holding each answer."""
-    held = chunks(spark, sf_dir)
-    found = containing(held, asked.where("answer <> ''"), ("position", "text"))
+    found = containing(read, asked.where("answer <> ''"), ("position", "text"))
     return found.groupBy("query_id").agg(
         F.min("position").alias("position"), F.min_by("text", "position").alias("text")
     )
@@ -86,8 +90,9 @@ def _gold(spark, sf_dir, asked):
 )
 def pack_with_answer_at(spark, sf_dir):
     """The same context with the gold chunk first, third, and last."""
-    context, asked, _ = _setup(spark, sf_dir)
-    gold = hold(_gold(spark, sf_dir, asked))
+    read = _read(spark, sf_dir)
+    context, asked, _ = _setup(spark, sf_dir, read)
+    gold = hold(_gold(read, asked))
     pool = answering.pool_with_gold(context, gold, K)
     rows = [
         answering.pack_with_answer_at(pool, gold, at).withColumn("slot", F.lit(at)) for at in (0, 2, 9)

@@ -22,8 +22,12 @@ def _hits(found):
     return rounded(found.select("query_id", "position", "rank", "score"), "score")
 
 
+#: What a retriever reads of a chunk; nothing else of it is kept.
+READ = ("position", "text")
+
+
 def _setup(spark, sf_dir):
-    retriever = fusion.HybridRetriever(hold(chunks(spark, sf_dir)), keep=hold)
+    retriever = fusion.HybridRetriever(hold(chunks(spark, sf_dir).select(*READ)), keep=hold)
     return retriever, hold(questions(spark, sf_dir))
 
 
@@ -81,7 +85,7 @@ MIXED = (
 )
 def mixed_search(spark, sf_dir):
     """One index over documents and conversation turns, asked both ways."""
-    retriever = fusion.HybridRetriever(hold(mixed_chunks(spark, sf_dir)), keep=hold)
+    retriever = fusion.HybridRetriever(hold(mixed_chunks(spark, sf_dir).select(*READ)), keep=hold)
     asked = hold(questions(spark, sf_dir))
     order = F.col("position.doc_order")
     found = union(

@@ -16,6 +16,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 
 TOKEN = re.compile("[0-9a-z가-힣:,.]+")
 #: Words whose places an embedder remembers from batch to batch, about.
@@ -35,6 +36,62 @@ def words(text: str) -> list[str]:
     return TOKEN.findall(lowered)
 
 
+#: The same for bytes that are not lower-cased yet.
+_LOWERED = bytes(b + 32 if 65 <= b <= 90 else _BLANKED[b] for b in range(256))
+#: Bytes that begin a Hangul syllable, among others; the other letters whose lower
+#: case has an ASCII letter.
+_HANGUL_FIRST, _HANGUL_LAST = 0xEA, 0xED
+_TO_ASCII = ("\u0130".encode(), "\u212a".encode())
+
+
+def _odd_rows(raw: bytes, data: np.ndarray, ends: np.ndarray) -> list[int]:
+    """Rows that need more than their bytes looked up one by one."""
+    if raw.isascii():
+        return []
+    places = [np.flatnonzero((data >= _HANGUL_FIRST) & (data <= _HANGUL_LAST))]
+    places += [[m.start() for m in re.finditer(letter, raw)] for letter in _TO_ASCII if letter in raw]
+    rows = np.searchsorted(ends, np.concatenate(places).astype(np.int64), "right")
+    return np.unique(rows).tolist()
+
+
+def token_lists(texts) -> pa.ListArray:
+    """The ``words`` of every text of an Arrow column, null for null, found in the
+    bytes of all texts at once."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    absent = texts.is_null()
+    texts = texts.cast(pa.string()).fill_null("")
+    _, places, bytes_of = texts.buffers()
+    rows = len(texts)
+    if not rows:
+        return pa.array([], pa.list_(pa.string()))
+    places = np.frombuffer(places, np.int32, rows + 1, 4 * texts.offset).astype(np.int64)
+    raw = bytes(bytes_of[places[0] : places[-1]]) if places[-1] > places[0] else b""
+    places -= places[0]
+    spelled = raw.translate(_LOWERED)
+    odd = _odd_rows(raw, np.frombuffer(raw, np.uint8), places[1:])
+    if odd:
+        parts, lengths, at = [], np.diff(places), 0
+        for row in odd:
+            parts += [spelled[at : places[row]], " ".join(words(texts[row].as_py())).encode()]
+            at, lengths[row] = places[row + 1], len(parts[-1])
+        spelled = b"".join([*parts, spelled[at:]])
+        places = np.r_[0, np.cumsum(lengths)]
+    data = np.frombuffer(spelled, np.uint8)
+    solid = data != 32
+    # A token ends where its text does.
+    cuts = np.zeros(len(data) + 1, bool)
+    cuts[places] = True
+    begins, stops = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1] | cuts[1:-1]
+    stops[:-1] &= ~solid[1:] | cuts[1:-1]
+    begins = np.flatnonzero(begins)
+    ends = np.r_[0, np.cumsum(np.flatnonzero(stops) + 1 - begins)].astype(np.int32)
+    found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(data[solid]))
+    lists = np.searchsorted(begins, places).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lists), found, mask=absent)
+
+
 class HashingEmbedder:
     """Signed feature hashing of tokens: the offline stand-in for a bi-encoder.
 
@@ -57,17 +114,18 @@ class HashingEmbedder:
     def encode(self, texts: list[str]) -> np.ndarray:
         if len(self._known) > KNOWN_WORDS:
             self._known.clear()
-        known, cells, ends = self._known, [], [0]
-        for text in texts:
-            for word in words(text):
-                place = known.get(word)
-                if place is None:
-                    place = known[word] = self._place(word)
-                cells.append(place)
-            ends.append(len(cells))
+        known, tokens = self._known, token_lists(pa.array(texts, pa.string()))
+        spelled = tokens.flatten().dictionary_encode()
+        places = []
+        for word in spelled.dictionary.to_pylist():
+            place = known.get(word)
+            if place is None:
+                place = known[word] = self._place(word)
+            places.append(place)
+        cells = np.array(places, dtype=np.int64)[spelled.indices.to_numpy()]
         signed = 2 * self.dimension
-        rows = np.repeat(np.arange(len(texts)), np.diff(ends))
-        counts = np.bincount(rows * signed + np.array(cells, dtype=np.int64), minlength=len(texts) * signed)
+        rows = np.repeat(np.arange(len(texts)), np.diff(tokens.offsets.to_numpy()))
+        counts = np.bincount(rows * signed + cells, minlength=len(texts) * signed)
         counts = counts.reshape(len(texts), self.dimension, 2)
         return (counts[:, :, 0] - counts[:, :, 1]).astype(float)
 

@@ -6,7 +6,6 @@ Every search returns ``(query_id, rank, position, score, *payload)``.
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import text as T
-from ..functions.models import words
-from .blocks import LEAST, Keep, select_best
+from ..functions.models import token_lists
+from .blocks import LEAST, ROWS_PER_STEP, Keep, select_best
 from .dense import matrix_of
 
 #: Stand-in term whose statistics are those of the whole collection.
@@ -27,6 +26,9 @@ EVERYTHING = ""
 SCORES_PER_ROW = 512
 #: What stands for a score that is not a number; LEAST stands for none.
 MOST = -LEAST
+#: A term of so many queries of a block is a column of a matrix product; the weights
+#: of the others are added up one by one.
+WIDE_QUERIES = 8
 
 
 class TermKernel:
@@ -57,60 +59,52 @@ class TermKernel:
             weight[everything] = 0.0
         else:
             mean, weight = None, np.ones(len(flat))
-        # Kept as triples; only the terms a batch holds become matrix rows.
+        # The queries of a term lie together; terms of many queries are rows of a matrix.
         order = np.argsort(column, kind="stable")
-        ends = np.cumsum(np.bincount(column, minlength=len(vocabulary)))
-        return vocabulary, (ends, owner[order], weight[order], len(terms)), mean
-
-    @staticmethod
-    def _rows(triples, active: np.ndarray) -> np.ndarray:
-        ends, owner, weight, queries = triples
-        begins = np.r_[0, ends[:-1]][active]
-        sizes = ends[active] - begins
-        picked = np.repeat(begins - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        matrix = np.zeros((len(active), queries))
-        np.add.at(matrix, (np.repeat(np.arange(len(active)), sizes), owner[picked]), weight[picked])
-        return matrix
+        sizes = np.bincount(column, minlength=len(vocabulary))
+        ends = np.cumsum(sizes)
+        owner, weight = owner[order], weight[order]
+        wide = np.flatnonzero(sizes >= WIDE_QUERIES)
+        seat = np.full(len(vocabulary), -1)
+        seat[wide] = np.arange(len(wide))
+        matrix = np.zeros((len(wide), len(terms)))
+        entries = np.repeat(seat, sizes)
+        np.add.at(matrix, (entries[entries >= 0], owner[entries >= 0]), weight[entries >= 0])
+        return vocabulary, (ends - sizes, sizes, owner, weight), (seat, matrix), mean
 
     def load(self, batch: pa.Table) -> pa.ListArray:
         if self.columns == ("text",):
-            return _token_lists(batch.column("text").to_pylist())
+            return token_lists(batch.column("text"))
         tokens = batch.column("tokens").combine_chunks()
         return pa.concat_arrays(tokens.chunks) if isinstance(tokens, pa.ChunkedArray) else tokens
 
     def score(self, state, tokens: pa.ListArray) -> np.ndarray:
-        vocabulary, triples, mean = state
-        rows = len(tokens)
+        vocabulary, (begins, sizes, owner, weight), (seat, matrix), mean = state
+        rows, queries = len(tokens), matrix.shape[1]
         lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
         place = pc.index_in(tokens.flatten(), vocabulary)
         known = place.is_valid().to_numpy(zero_copy_only=False)
         column = place.drop_null().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(rows), lengths)[known]
-        active, local = np.unique(column, return_inverse=True)
-        if not len(active):
-            return np.zeros((rows, triples[3]))
-        # Only the terms a row holds are weighed; the rest of the matrix is zero.
-        cells, counts = np.unique(row * len(active) + local, return_counts=True)
+        # Only the terms a row holds are weighed.
+        cells, counts = np.unique(row * len(seat) + column, return_counts=True)
+        row, column = np.divmod(cells, max(len(seat), 1))
         if self.weigh == "coverage":
             weights = np.ones(len(cells))
         elif self.weigh == "bm25":
             damping = self.k1 * (1 - self.b + self.b * (lengths / mean))
-            weights = counts * (self.k1 + 1) / (counts + damping[cells // len(active)])
+            weights = counts * (self.k1 + 1) / (counts + damping[row])
         else:
-            weights = counts
-        present = np.zeros((rows, len(active)))
-        present.ravel()[cells] = weights
-        return present @ self._rows(triples, active)
-
-
-def _token_lists(texts: list) -> pa.ListArray:
-    ends, found = [0], []
-    for text in texts:
-        if text is not None:
-            found += words(text)
-        ends.append(len(found))
-    absent = pa.array([text is None for text in texts], pa.bool_())
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.string()), mask=absent)
+            weights = counts.astype(float)
+        wide = seat[column] >= 0
+        present = np.zeros((rows, len(matrix)))
+        present[row[wide], seat[column[wide]]] = weights[wide]
+        row, column, weights = row[~wide], column[~wide], weights[~wide]
+        each = sizes[column]
+        picked = np.repeat(begins[column] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        parts = np.repeat(weights, each) * weight[picked]
+        sums = np.bincount(np.repeat(row, each) * queries + owner[picked], parts, rows * queries)
+        return present @ matrix + sums.reshape(rows, queries)
 
 
 def _scored_items(chunks: DataFrame, tokenizer) -> DataFrame:
@@ -319,20 +313,27 @@ class BM25:
     def _counted_in_tasks(self, wanted: DataFrame) -> DataFrame:
         """``term_stats`` of a few terms: a task reads its texts and emits one row per
         term that it saw."""
-        shared = self.items.sparkSession.sparkContext.broadcast({row["term"] for row in wanted.collect()})
+        terms = sorted({row["term"] for row in wanted.collect()} - {None})
+        shared = self.items.sparkSession.sparkContext.broadcast(terms)
 
         def count(batches):
-            asked, seen, chunks, length = shared.value, Counter(), 0, 0
+            asked, chunks, length = pa.array(shared.value, pa.string()), 0, 0
+            seen = np.zeros(len(asked), np.int64)
             for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    if text is not None:
-                        found = words(text)
-                        chunks, length = chunks + 1, length + len(found)
-                        seen.update(asked.intersection(found))
-            if chunks and EVERYTHING in asked:
-                seen[EVERYTHING] = chunks
-            sums = [length if term == EVERYTHING else None for term in seen]
-            columns = [pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64()), pa.array(sums, pa.int64())]
+                for start in range(0, batch.num_rows, ROWS_PER_STEP):
+                    tokens = token_lists(batch.column("text").slice(start, ROWS_PER_STEP)).drop_null()
+                    sizes = tokens.value_lengths().to_numpy()
+                    chunks, length = chunks + len(tokens), length + int(sizes.sum())
+                    place = pc.fill_null(pc.index_in(tokens.flatten(), asked), -1).to_numpy()
+                    held = np.repeat(np.arange(len(tokens)), sizes) * len(asked) + place
+                    once = np.unique(held[place >= 0])
+                    seen += np.bincount(once % max(len(asked), 1), minlength=len(asked))
+            if chunks and EVERYTHING in shared.value:
+                seen[shared.value.index(EVERYTHING)] = chunks
+            found = np.flatnonzero(seen)
+            names = asked.take(pa.array(found))
+            sums = [length if name == EVERYTHING else None for name in names.to_pylist()]
+            columns = [names, pa.array(seen[found]), pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["term", "df", "dl"])
 
         parts = self.items.select("text").mapInArrow(count, "term string, df long, dl long")

@@ -4,11 +4,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking as C
-from lodestone.operators import containment, dense, fusion, lexical, metrics, structured
+from lodestone.operators import blocks, containment, dense, fusion, lexical, metrics, structured
 from lodestone.operators.ann import IVFIndex, NSWIndex, kmeans, recall_curve
 from lodestone.operators.postings import StoredBM25
 from lodestone.plans import experiment as E
@@ -562,3 +563,65 @@ def test_texts_are_encoded_once_for_all_query_blocks():
         blocks._scan(dense.EncodingKernel(embedder), blocks.Keep(k=1), ("position",), "size", ["position"], asked, [batch], schema)
     )
     assert embedder.seen == 50 and sum(b.num_rows for b in out) == 700
+
+
+def test_tokens_found_in_bytes_are_the_words_of_each_text():
+    from lodestone.functions.models import token_lists, words
+
+    letters = ["a", "Z", "K", "İ", "가", "나 ", "é", "ß", " ", "\n", ".", ",", "字", "9", "ힰ", "\xa0", "x:y"]
+    rng = np.random.default_rng(3)
+    texts = [None if i % 11 == 5 else "".join(rng.choice(letters, i % 9)) for i in range(2000)]
+    for part in (texts, [t for t in texts if t and t.isascii()], ["ab", "cd"], ["", None], []):
+        wanted = [None if t is None else words(t) for t in part]
+        assert token_lists(pa.array(part, pa.string())).to_pylist() == wanted
+        assert token_lists(pa.chunked_array([pa.array(part, pa.string()).slice(1)])).to_pylist() == wanted[1:]
+
+
+@pytest.mark.parametrize("weigh", ["bm25", "coverage", "occurrences"])
+def test_scoring_memory_does_not_grow_with_the_vocabulary(weigh):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 6000, 12)) + " all" for _ in range(2048)]
+    asked = [Counter([f"w{w}" for w in rng.integers(0, 6000, 200)] + ["all", ""]) for _ in range(40)]
+    terms = [[{"term": w, "uses": n, "df": len(texts) if w in ("all", "") else 4, "dl": 13 * len(texts)} for w, n in c.items()] for c in asked]
+    kernel = lexical.TermKernel(weigh)
+    state = kernel.prepare(pa.table({"terms": terms}))
+    loaded = kernel.load(pa.table({"text": texts}))
+    tracemalloc.start()
+    got = kernel.score(state, loaded)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    spelled = [Counter(t.split()) for t in texts]
+    for i, q in ((0, 0), (7, 39), (2047, 11), (1000, 20)):
+        want = 0.0
+        for term in terms[q]:
+            tf = spelled[i][term["term"]]
+            if tf and weigh == "bm25":
+                weight = term["uses"] * np.log1p((len(texts) - term["df"] + 0.5) / (term["df"] + 0.5))
+                want += weight * tf * 2.5 / (tf + 1.5)
+            elif tf:
+                want += 1 if weigh == "coverage" else tf
+        assert got[i, q] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("keep", [blocks.Keep(k=3), blocks.Keep(budget=40)])
+def test_rows_that_others_of_a_batch_push_out_are_not_copied(keep):
+    rng = np.random.default_rng(9)
+    batch = pa.table({"position": rng.permutation(2000), "size": rng.integers(1, 30, 2000)})
+    scores = rng.integers(0, 2, (2000, 5)).astype(float)
+    chosen = blocks._Selection(keep, 5, ("position",), "size")
+    chosen._take(scores, batch, None)
+    assert chosen.rows.num_rows <= 5 * 42
+    chosen._trim()
+    position, size = (batch.column(c).to_numpy() for c in ("position", "size"))
+    wanted = []
+    for q in range(5):
+        order, used = np.lexsort((position, -scores[:, q])), 0
+        for n, i in enumerate(order):
+            if n >= (keep.k or 2000) or (keep.budget and used > keep.budget):
+                break
+            wanted.append((q, int(position[i])))
+            used += size[i]
+    assert list(zip(chosen.rows.column("_query").to_pylist(), chosen.rows.column("position").to_pylist())) == wanted
