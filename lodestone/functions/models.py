@@ -106,22 +106,25 @@ class HashingEmbedder:
     def count_tokens(self, texts: list[str]) -> list[int]:
         return [len(words(text)) for text in texts]
 
-    def _place(self, word: str) -> int:
-        """Twice the bucket of a word, and one more if its sign is negative."""
-        digest = hashlib.md5(word.encode()).hexdigest()
-        return int(digest[:7], 16) % self.dimension * 2 + int(digest[7], 16) % 2
+    def _places(self, words: list[str]) -> list[int]:
+        """Twice the bucket of each word, and one more if its sign is negative."""
+        known, digests = self._known, hashlib.md5
+        places = list(map(known.get, words))
+        fresh = [i for i, place in enumerate(places) if place is None]
+        if fresh:
+            first = b"".join([digests(words[i].encode()).digest()[:4] for i in fresh])
+            bits = np.frombuffer(first, ">u4").astype(np.int64)
+            found = ((bits >> 4) % self.dimension * 2 + bits % 2).tolist()
+            for i, place in zip(fresh, found):
+                places[i] = known[words[i]] = place
+        return places
 
     def encode(self, texts: list[str]) -> np.ndarray:
         if len(self._known) > KNOWN_WORDS:
             self._known.clear()
-        known, tokens = self._known, token_lists(pa.array(texts, pa.string()))
+        tokens = token_lists(pa.array(texts, pa.string()))
         spelled = tokens.flatten().dictionary_encode()
-        places = []
-        for word in spelled.dictionary.to_pylist():
-            place = known.get(word)
-            if place is None:
-                place = known[word] = self._place(word)
-            places.append(place)
+        places = self._places(spelled.dictionary.to_numpy(zero_copy_only=False).tolist())
         cells = np.array(places, dtype=np.int64)[spelled.indices.to_numpy()]
         signed = 2 * self.dimension
         rows = np.repeat(np.arange(len(texts)), np.diff(tokens.offsets.to_numpy()))
