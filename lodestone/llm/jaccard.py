@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, delete_all, saved, sent_if_small, written
+from .common import components, delete_all, saved, sent_if_small, small_batches, written
 from .shingles import fingerprint, shingle_set
 
 #: Share of documents whose n-grams are counted to find frequent ones: 1 in so many.
@@ -54,7 +54,10 @@ WANTED_BYTES = 64
 #: First pass: n-grams of a document (its lowest hashes, which near copies share)
 #: that are blocked, and neighbours it meets there.
 FIRST_GRAMS, NEIGHBOURS = 3, 8
-CHUNK = 512
+#: Pairs of a block that are looked at together.
+CELLS = 1 << 18
+#: Rows, with texts or whole sets, that go to Python at a time.
+BATCH_ROWS = 512
 #: Sets and n-grams, about, of one of the two parts of a component that a task
 #: multiplies, and n-grams it takes at a time.
 PART_SETS, PART_GRAMS, COLUMNS = 256, 1 << 20, 4096
@@ -214,9 +217,13 @@ def _across(percent: int):
             if (component == component[0]).all():
                 continue
             ends = np.searchsorted(n, 100 * n // percent, "right")
-            for at in range(0, len(ids), CHUNK):
-                rows = np.arange(at, min(at + CHUNK, len(ids)))
+            at = 0
+            while at < len(ids):
+                # The more rows may link with a row, the fewer of them at a time.
+                most = max(CELLS // max(int(ends[at]) - at, 1), 1)
+                rows = np.arange(at, min(at + most, len(ids)))
                 columns = np.arange(at, ends[rows].max())
+                at = rows[-1] + 1
                 i, j = rows[:, None], columns[None, :]
                 may = (j > i) & (component[i] != component[j])
                 may &= _may_link(n[i], place[i], n[j], place[j], percent)
@@ -411,6 +418,11 @@ def join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     Links are all pairs ``(a, b)``, a < b, of ids of linked classes. They are not
     computed before they are read.
     """
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _joined(docs, k, percent)
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     with written() as full:
         whole = saved(signatures(docs, k, percent), "signatures")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -660,3 +661,41 @@ def test_toxicity_reads_no_held_out_label_and_survives_odd_rows(spark, odd, empt
     none = toxicity.train(odd, labels.limit(0))
     assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.5}
     assert toxicity.score(empty, none).count() == 0
+
+
+def test_pairs_of_a_long_block_are_looked_at_a_few_at_a_time():
+    import tracemalloc
+
+    def pairs(ids, n, place, component):
+        names = ["gram", "id", "n", "place", "component"]
+        columns = [np.zeros(len(ids), np.int64), ids, n, place, component]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        return [p for out in jaccard._across(80)(iter([batch])) for p in zip(*(c.to_pylist() for c in out.columns))]
+
+    ids = np.arange(12_000)
+    tracemalloc.start()
+    assert pairs(ids, np.full(12_000, 100), np.full(12_000, 90), ids) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    rng = np.random.default_rng(2)
+    ids, n = rng.permutation(1500), np.sort(rng.integers(3, 60, 1500))
+    place, component = rng.integers(0, 3, 1500), rng.integers(0, 9, 1500)
+    wanted = {
+        (min(ids[i], ids[j]), max(ids[i], ids[j]))
+        for i in range(1500)
+        for j in range(i + 1, np.searchsorted(n, 100 * n[i] // 80, "right"))
+        if component[i] != component[j] and jaccard._may_link(n[i], place[i], n[j], place[j], 80)
+    }
+    found = pairs(ids, n, place, component)
+    assert wanted and set(found) == wanted and len(found) == len(wanted)
+
+
+def test_the_join_sends_few_rows_to_python_at_a_time(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    monkeypatch.setattr(jaccard, "saved", lambda frame, name, kept=jaccard.saved: seen.append(spark.conf.get(key)) or kept(frame, name))
+    frame = spark.createDataFrame([(i, f"some words of a text that is not long {i % 3}") for i in range(9)], "doc_id long, text string")
+    jaccard.join(frame, 3, 90)
+    assert seen and {int(n) for n in seen} == {jaccard.BATCH_ROWS}
+    assert spark.conf.get(key) == before
