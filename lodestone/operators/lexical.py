@@ -31,6 +31,37 @@ MOST = -LEAST
 WIDE_QUERIES = 8
 
 
+class TermWeights:
+    """What each query gives for a term, from ``(term, query, weight)`` triples."""
+
+    def __init__(self, term: np.ndarray, query: np.ndarray, weight: np.ndarray, terms: int, queries: int):
+        # The queries of a term lie together; terms of many queries are rows of a matrix.
+        order = np.argsort(term, kind="stable")
+        self.sizes = np.bincount(term, minlength=terms)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.query, self.weight = query[order], weight[order]
+        wide = np.flatnonzero(self.sizes >= WIDE_QUERIES)
+        self.seat = np.full(terms, -1)
+        self.seat[wide] = np.arange(len(wide))
+        self.matrix = np.zeros((len(wide), queries))
+        entries = np.repeat(self.seat, self.sizes)
+        inside = entries >= 0
+        np.add.at(self.matrix, (entries[inside], self.query[inside]), self.weight[inside])
+
+    def sums(self, rows: int, row: np.ndarray, term: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Weighted sums (rows x queries) of cells ``(row, term, value)``, each given once."""
+        queries = self.matrix.shape[1]
+        wide = self.seat[term] >= 0
+        present = np.zeros((rows, len(self.matrix)))
+        present[row[wide], self.seat[term[wide]]] = values[wide]
+        row, term, values = row[~wide], term[~wide], values[~wide]
+        each = self.sizes[term]
+        picked = np.repeat(self.begins[term] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        parts = np.repeat(values, each) * self.weight[picked]
+        sums = np.bincount(np.repeat(row, each) * queries + self.query[picked], parts, rows * queries)
+        return present @ self.matrix + sums.reshape(rows, queries)
+
+
 class TermKernel:
     """Scores texts, or token lists of the caller's tokenizer, against weighted query
     terms. Texts are cut into tokens where they are scored."""
@@ -59,18 +90,7 @@ class TermKernel:
             weight[everything] = 0.0
         else:
             mean, weight = None, np.ones(len(flat))
-        # The queries of a term lie together; terms of many queries are rows of a matrix.
-        order = np.argsort(column, kind="stable")
-        sizes = np.bincount(column, minlength=len(vocabulary))
-        ends = np.cumsum(sizes)
-        owner, weight = owner[order], weight[order]
-        wide = np.flatnonzero(sizes >= WIDE_QUERIES)
-        seat = np.full(len(vocabulary), -1)
-        seat[wide] = np.arange(len(wide))
-        matrix = np.zeros((len(wide), len(terms)))
-        entries = np.repeat(seat, sizes)
-        np.add.at(matrix, (entries[entries >= 0], owner[entries >= 0]), weight[entries >= 0])
-        return vocabulary, (ends - sizes, sizes, owner, weight), (seat, matrix), mean
+        return vocabulary, TermWeights(column, owner, weight, len(vocabulary), len(terms)), mean
 
     def load(self, batch: pa.Table) -> pa.ListArray:
         if self.columns == ("text",):
@@ -79,16 +99,16 @@ class TermKernel:
         return pa.concat_arrays(tokens.chunks) if isinstance(tokens, pa.ChunkedArray) else tokens
 
     def score(self, state, tokens: pa.ListArray) -> np.ndarray:
-        vocabulary, (begins, sizes, owner, weight), (seat, matrix), mean = state
-        rows, queries = len(tokens), matrix.shape[1]
+        vocabulary, weighed, mean = state
+        rows, terms = len(tokens), max(len(vocabulary), 1)
         lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
         place = pc.index_in(tokens.flatten(), vocabulary)
         known = place.is_valid().to_numpy(zero_copy_only=False)
         column = place.drop_null().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(rows), lengths)[known]
         # Only the terms a row holds are weighed.
-        cells, counts = np.unique(row * len(seat) + column, return_counts=True)
-        row, column = np.divmod(cells, max(len(seat), 1))
+        cells, counts = np.unique(row * terms + column, return_counts=True)
+        row, column = np.divmod(cells, terms)
         if self.weigh == "coverage":
             weights = np.ones(len(cells))
         elif self.weigh == "bm25":
@@ -96,15 +116,7 @@ class TermKernel:
             weights = counts * (self.k1 + 1) / (counts + damping[row])
         else:
             weights = counts.astype(float)
-        wide = seat[column] >= 0
-        present = np.zeros((rows, len(matrix)))
-        present[row[wide], seat[column[wide]]] = weights[wide]
-        row, column, weights = row[~wide], column[~wide], weights[~wide]
-        each = sizes[column]
-        picked = np.repeat(begins[column] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        parts = np.repeat(weights, each) * weight[picked]
-        sums = np.bincount(np.repeat(row, each) * queries + owner[picked], parts, rows * queries)
-        return present @ matrix + sums.reshape(rows, queries)
+        return weighed.sums(rows, row, column, weights)
 
 
 def _scored_items(chunks: DataFrame, tokenizer) -> DataFrame:
