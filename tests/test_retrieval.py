@@ -625,3 +625,24 @@ def test_rows_that_others_of_a_batch_push_out_are_not_copied(keep):
             wanted.append((q, int(position[i])))
             used += size[i]
     assert list(zip(chosen.rows.column("_query").to_pylist(), chosen.rows.column("position").to_pylist())) == wanted
+
+
+def test_a_stored_index_has_a_row_for_each_segment(spark, tmp_path, monkeypatch):
+    from lodestone.operators import postings
+
+    monkeypatch.setattr(postings, "SEGMENT_CHUNKS", 16)
+    rng = random.Random(4)
+    rows = [(i, i, " ".join(rng.choices(["a", "b", "가c", "d.", "e7", "ü"], k=i % 9)), None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, doc_order long, text string, metadata map<string,string>")
+    asked = spark.createDataFrame([(1, "a 가c"), (2, "d. d. e7"), (None, "b"), (4, "zz")], "query_id long, query string")
+    for tokenizer in (lexical.T.tokens, lambda text: F.split(text, " ")):
+        index = lexical.BM25(C.build_index(docs, 40), tokenizer=tokenizer)
+        path = str(tmp_path / str(tokenizer is lexical.T.tokens))
+        StoredBM25.write(index, path, 4, 3)
+        stored = StoredBM25(spark, path, tokenizer)
+        assert 1 < stored.blocks.count() <= stored.about["segments"] == 7
+        key = lambda f: sorted((str(r["query_id"]), r["rank"], str(r["position"]), round(r["score"], 8)) for r in f.collect())
+        assert key(stored.search(asked, 4)) == key(index.search(asked, 4))
+        held = {r["term"]: r["df"] for r in index.document_frequency().collect()}
+        work = {r["query_id"]: r for r in stored.work(asked, 1).collect()}
+        assert work.keys() == {1, 2, None} and work[2]["postings"] == held.get("d.", 0) + held.get("e7", 0)
