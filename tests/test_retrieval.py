@@ -646,3 +646,15 @@ def test_a_stored_index_has_a_row_for_each_segment(spark, tmp_path, monkeypatch)
         held = {r["term"]: r["df"] for r in index.document_frequency().collect()}
         work = {r["query_id"]: r for r in stored.work(asked, 1).collect()}
         assert work.keys() == {1, 2, None} and work[2]["postings"] == held.get("d.", 0) + held.get("e7", 0)
+
+
+def test_stored_rows_that_share_a_position_add_up(spark, tmp_path):
+    texts = [(1, "red blue."), (1, "red green."), (2, "red red."), (3, "blue"), (None, "red"), (None, "blue red")]
+    rows = [(i, i, text, None) for i, text in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, doc_order long, text string, metadata map<string,string>")
+    asked = spark.createDataFrame([(7, "red blue")], "query_id long, query string")
+    index = lexical.BM25(C.build_index(docs, 40))
+    every = index.search(asked, 10).groupBy("position").agg(F.sum("score").alias("score"))
+    stored = StoredBM25.write(index, str(tmp_path / "twice")).search(asked, 10)
+    key = lambda f: sorted((str(r["position"]), round(r["score"], 8)) for r in f.collect())
+    assert key(stored) == key(every) and stored.count() == 4
