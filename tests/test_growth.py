@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import cutting
 from lodestone.functions import text as T
 from lodestone.functions.models import TOKEN, HashingEmbedder, words
-from lodestone.operators import ann, blocks, chunking as C, lexical
+from lodestone.operators import ann, blocks, chunking as C, dense, lexical
 
 TEXTS = [
     "The cat sat. The dog, 3.5 years old, ran!  Then it slept...\n\nNew part? Yes.",
@@ -143,3 +143,16 @@ def test_graph_stays_where_it_is(spark, monkeypatch, room):
     walked = {r["query_id"]: (sorted(r["visited"]), r["best"]) for r in index.walk(asked, 4, limit=0).collect()}
     shared = {r["query_id"]: (sorted(r["visited"]), r["best"]) for r in index.walk(asked, 4).collect()}
     assert walked == shared
+
+
+def test_rows_that_ask_for_their_own_neighbours_meet_in_the_grid(spark):
+    """Queries and items of one table, which Spark keeps once for both."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(50)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>")
+    edges = [sorted(ann.NSWIndex(4, m=3).fit(vectors, broadcast_limit=limit).edges.collect()) for limit in (None, 0)]
+    assert edges[0] == edges[1] and len(edges[0]) > 100
+    store = dense.VectorStore(4).add(vectors)
+    asked = store.rows.select(F.col("id").alias("query_id"), "vector")
+    found = [store.search_batch(asked, 3, broadcast_limit=limit).select("query_id", "rank", "id").collect() for limit in (None, 0)]
+    assert sorted(found[0]) == sorted(found[1]) and len(found[0]) == 150
