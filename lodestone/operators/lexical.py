@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .. import session
 from ..functions import text as T
@@ -62,6 +63,21 @@ class TermWeights:
         return present @ self.matrix + sums.reshape(rows, queries)
 
 
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def _cells(lists: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, term, count)`` of the terms that lists hold, each once."""
+    terms = max(len(vocabulary), 1)
+    place = pc.index_in(lists.flatten(), vocabulary)
+    known = place.is_valid().to_numpy(zero_copy_only=False)
+    column = place.drop_null().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), _sizes(lists))[known]
+    cells, counts = np.unique(row * terms + column, return_counts=True)
+    return *np.divmod(cells, terms), counts
+
+
 class TermKernel:
     """Scores texts, or token lists of the caller's tokenizer, against weighted query
     terms. Texts are cut into tokens where they are scored."""
@@ -100,23 +116,17 @@ class TermKernel:
 
     def score(self, state, tokens: pa.ListArray) -> np.ndarray:
         vocabulary, weighed, mean = state
-        rows, terms = len(tokens), max(len(vocabulary), 1)
-        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        place = pc.index_in(tokens.flatten(), vocabulary)
-        known = place.is_valid().to_numpy(zero_copy_only=False)
-        column = place.drop_null().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(rows), lengths)[known]
         # Only the terms a row holds are weighed.
-        cells, counts = np.unique(row * terms + column, return_counts=True)
-        row, column = np.divmod(cells, terms)
+        row, column, counts = _cells(tokens, vocabulary)
         if self.weigh == "coverage":
-            weights = np.ones(len(cells))
+            weights = np.ones(len(counts))
         elif self.weigh == "bm25":
+            lengths = _sizes(tokens)
             damping = self.k1 * (1 - self.b + self.b * (lengths / mean))
             weights = counts * (self.k1 + 1) / (counts + damping[row])
         else:
             weights = counts.astype(float)
-        return weighed.sums(rows, row, column, weights)
+        return weighed.sums(len(tokens), row, column, weights)
 
 
 def _scored_items(chunks: DataFrame, tokenizer) -> DataFrame:
@@ -209,6 +219,36 @@ class _GivenScores:
         return loaded[:, state]
 
 
+def _with_shared(items: DataFrame, lists: DataFrame) -> DataFrame:
+    """``items`` with ``_shared`` instead of ``_words``: how many distinct words they
+    share with each list of ``lists``, one row of a size that was checked. Nulls among
+    the words are one word; a list that is null shares nothing that has a number."""
+    asked = lists.toArrow().column("lists").combine_chunks()
+    asked = pa.concat_arrays(asked.chunks) if isinstance(asked, pa.ChunkedArray) else asked
+    shared = items.sparkSession.sparkContext.broadcast(asked.flatten())
+    schema = items.drop("_words").schema.add("_shared", ArrayType(IntegerType()))
+
+    def count(batches):
+        asked = shared.value
+        vocabulary = pc.unique(asked.flatten())
+        query, term, _ = _cells(asked, vocabulary)
+        weighed = TermWeights(term, query, np.ones(len(term)), len(vocabulary), len(asked))
+        missing = asked.is_null().to_numpy(zero_copy_only=False)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_PER_STEP):
+                part = batch.slice(start, ROWS_PER_STEP)
+                words = part.column("_words")
+                row, term, _ = _cells(words, vocabulary)
+                sums = weighed.sums(len(words), row, term, np.ones(len(row))).astype(np.int32)
+                none = words.is_null().to_numpy(zero_copy_only=False)[:, None] | missing
+                counts = pa.array(sums.ravel(), mask=none.ravel())
+                begins = np.arange(len(words) + 1, dtype=np.int32) * len(asked)
+                columns = [part.column(name) for name in schema.names[:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(begins, counts)], schema.names)
+
+    return items.mapInArrow(count, schema)
+
+
 class Scored:
     """Retrieval by any scorer, a function of a query and a text column.
 
@@ -216,12 +256,15 @@ class Scored:
     them are too many, and a chunk is one row with its scores for a block. Each task
     keeps the best of its own chunks before any row is shuffled. ``prepare``, a
     function of a text column, is applied once to every query and every text; the
-    scorer then gets what it made of them. Ties go by document id, then chunk index;
+    scorer then gets what it made of them. With ``words``, a function of a text column
+    that lists its words, the scorer also gets how many distinct ones a pair shares,
+    what ``size(array_intersect(...))`` of both lists is; they are counted for a batch
+    of chunks and a block of queries at once. Ties go by document id, then chunk index;
     pairs without a score come last.
     """
 
-    def __init__(self, chunks: DataFrame, scorer, prepare=None):
-        self.scorer, self.prepare = scorer, prepare or (lambda text: text)
+    def __init__(self, chunks: DataFrame, scorer, prepare=None, words=None):
+        self.scorer, self.prepare, self.words = scorer, prepare or (lambda text: text), words
         self.items = chunks.withColumn("size", F.length("text"))
 
     def _select(self, queries, keep: Keep, payload, broadcast_limit: int | None = None) -> DataFrame:
@@ -232,9 +275,12 @@ class Scored:
         blocks = max(min(-(-total // max(limit, 1)), rows), -(-rows // SCORES_PER_ROW), 1)
         part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
         items = self.items.withColumn("_prepared", self.prepare(F.col("text")))
+        if self.words is not None:
+            wanted = dict.fromkeys(["doc_id", "chunk_index", "position", "size", *payload, "_prepared"])
+            items = items.select(*wanted, self.words(F.col("text")).alias("_words"))
 
-        def score(query: Column) -> Column:
-            value = self.scorer(query, F.col("_prepared")).cast("double")
+        def score(query: Column, *shared: Column) -> Column:
+            value = self.scorer(query, F.col("_prepared"), *shared).cast("double")
             return F.coalesce(F.when(F.isnan(value), MOST).otherwise(value), F.lit(LEAST))
 
         found = []
@@ -242,8 +288,13 @@ class Scored:
             # One row: a total order of the block, so that places are the same again.
             row = asked.where(part == block).agg(F.sort_array(F.collect_list(F.struct("query_id", "text"))).alias("all"))
             spelled = row.select(F.transform("all", lambda q: F.struct(self.prepare(q["text"]).alias("query"))).alias("_asked"))
-            scores = F.transform("_asked", lambda q: score(q["query"]))
-            scored = items.crossJoin(F.broadcast(spelled)).withColumn("scores", scores)
+            if self.words is None:
+                held, scores = items, F.transform("_asked", lambda q: score(q["query"]))
+            else:
+                lists = row.select(F.transform("all", lambda q: self.words(q["text"])).alias("lists"))
+                held = _with_shared(items, lists)
+                scores = F.zip_with("_asked", "_shared", lambda q, shared: score(q["query"], shared))
+            scored = held.crossJoin(F.broadcast(spelled)).withColumn("scores", scores)
             places = row.select(F.posexplode("all").alias("place", "q")).select("place", "q.query_id")
             found.append(
                 select_best(
@@ -266,10 +317,11 @@ class Scored:
         return found.select("query_id", "rank", "position", "score", *payload)
 
 
-def overlap(chunks: DataFrame, scorer="coverage", prepare=None):
+def overlap(chunks: DataFrame, scorer="coverage", prepare=None, words=None):
     """An index by one of the named overlap scorers or by a function of columns, of
-    what ``prepare`` makes of them if that is given."""
-    return Scored(chunks, scorer, prepare) if callable(scorer) else Overlap(chunks, scorer)
+    what ``prepare`` makes of them if that is given, and of the number of words a pair
+    shares if ``words`` is."""
+    return Scored(chunks, scorer, prepare, words) if callable(scorer) else Overlap(chunks, scorer)
 
 
 def score_coverage(query: Column, text: Column) -> Column:

@@ -156,3 +156,39 @@ def test_rows_that_ask_for_their_own_neighbours_meet_in_the_grid(spark):
     asked = store.rows.select(F.col("id").alias("query_id"), "vector")
     found = [store.search_batch(asked, 3, broadcast_limit=limit).select("query_id", "rank", "id").collect() for limit in (None, 0)]
     assert sorted(found[0]) == sorted(found[1]) and len(found[0]) == 150
+
+
+def test_shared_words_are_counted_for_a_batch_at_once(spark):
+    """A scorer that is told the number of shared words gives what one that intersects gives."""
+    _, chunks = chunk_rows(spark, TEXTS)
+    asked = spark.createDataFrame([(i, f"the the dog {i} a. 한국어") for i in range(7)] + [(7, None), (8, ""), (8, "cat")], "query_id int, query string")
+
+    def words(text):
+        listed = F.transform(F.split(F.lower(text), " "), lambda w: F.when(w != "dog,", w))
+        return F.when(F.length(text) != 11, listed)
+
+    def intersected(query, text):
+        return F.size(F.array_intersect(query["words"], text["words"])) / text["n"]
+
+    def told(query, text, shared):
+        return shared / text["n"]
+
+    def prepare(text):
+        return F.struct(words(text).alias("words"), F.length(text).alias("n"))
+
+    key = lambda frame: sorted((r["query_id"], r["rank"], str(r["position"]), r["score"]) for r in frame.collect())
+    plain, index = lexical.overlap(chunks, intersected, prepare), lexical.overlap(chunks, told, prepare, words)
+    found = key(plain.search(asked, 100))
+    assert any(score is None for *_, score in found) and any(score for *_, score in found)
+    plans = index.search(asked, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plans
+    for few in (None, 200):
+        assert key(index.search(asked, 100, broadcast_limit=few)) == found
+        assert key(index.search_within_budget(asked, 60, broadcast_limit=few)) == key(plain.search_within_budget(asked, 60))
+    assert index.search(asked.limit(0), 3).isEmpty() and key(index.search(asked.where("query_id = 8"), 2)) == key(plain.search(asked.where("query_id = 8"), 2))
+
+
+def test_custom_retrieval_does_not_intersect_pair_by_pair(spark, sf):
+    from lodestone.catalog.search import retrieve_custom
+
+    assert "array_intersect" not in retrieve_custom(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
