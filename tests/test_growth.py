@@ -192,3 +192,32 @@ def test_custom_retrieval_does_not_intersect_pair_by_pair(spark, sf):
     from lodestone.catalog.search import retrieve_custom
 
     assert "array_intersect" not in retrieve_custom(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_later_items_are_not_scored():
+    kernel, rng = ann._EarlierKernel(), np.random.default_rng(4)
+    vectors = [[float(x) for x in rng.normal(size=3)] for _ in range(6)]
+    state = kernel.prepare(pa.table({"query_id": [3, 4], "vector": vectors[:2]}))
+
+    def scores(*ids):
+        return kernel.score(state, kernel.load(pa.table({"id": list(ids), "vector": vectors[: len(ids)]})))
+
+    assert scores(4, 5, 9) is None and np.isfinite(scores(1, 2)).all()
+    assert np.isneginf(scores(2, 3, 4)).tolist() == [[False, False], [True, False], [True, True]]
+
+
+@pytest.mark.parametrize("room", (0, 1 << 20))
+def test_joined_walk_fetches_ahead_for_every_query(spark, monkeypatch, room):
+    """Queries of one query_id, or of none, walk on their own, in fewer rounds than nodes."""
+    monkeypatch.setattr(ann, "ROUND_BYTES", room)
+    laid, rounds = ann._laid, []
+    monkeypatch.setattr(ann, "_laid", lambda frame, path: rounds.append(path) or laid(frame, path))
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>")
+    asked = spark.createDataFrame([(1, rows[3][1]), (1, rows[50][1]), (None, rows[70][1])], "query_id long, vector array<float>")
+    index = ann.NSWIndex(4, m=3).fit(vectors)
+    key = lambda frame: sorted((str(r["query_id"]), sorted(r["visited"]), r["best"]) for r in frame.collect())
+    walked = key(index.walk(asked, 8, limit=0))
+    assert walked == key(index.walk(asked, 8))
+    assert 1 < len(rounds) < min(len(visited) for _, visited, _ in walked)
